@@ -34,25 +34,33 @@ def free(columns: Iterable[str], wanted: str) -> str:
     return wanted
 
 
-def extended(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+def extended(
+    df: DataFrame,
+    text: str,
+    fields: list[T.StructField],
+    make: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    keep_text: bool = True,
+) -> DataFrame:
     """``df`` with columns that a Python function computes from one column.
 
     ``make()`` is called once in a task and returns the function, which gets the
     values of ``text`` as an Arrow array and returns an array for each field.  A
-    column of ``df`` that has the name of a new one is replaced.
+    column of ``df`` that has the name of a new one is replaced.  Without
+    ``keep_text`` the column ``text`` isn't sent back.
     """
     names = {f.name.lower() for f in fields}
-    source = free([*df.columns, *names], "source_text")
-    kept = [c for c in df.columns if c.lower() not in names]
-    sent = df.select(df[text].alias(source), *[df[f"`{c}`"] for c in kept])
-    schema = T.StructType([*[f for f in sent.schema.fields if f.name != source], *fields])
+    kept = [c for c in df.columns if c.lower() not in names and (keep_text or c.lower() != text.lower())]
+    stays = next((c for c in kept if c.lower() == text.lower()), None)
+    source = stays or free([*df.columns, *names], "source_text")
+    extra = [] if stays else [df[f"`{text}`"].alias(source)]
+    sent = df.select(*[df[f"`{c}`"] for c in kept], *extra)
+    schema = T.StructType([*sent.schema.fields[: len(kept)], *fields])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
             for part in pieces(batch, source):
-                at = part.schema.get_field_index(source)
-                columns = [c for i, c in enumerate(part.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*columns, *function(part.column(at))], names=schema.names)
+                made = function(part.column(part.schema.get_field_index(source)))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=schema.names)
 
     return sent.mapInArrow(work, schema)
