@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_classifier, quality_rules, sentencepiece_codec, token_counts, url_filter
+from . import line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts, url_filter
 
 #: The production vocabularies.
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -54,6 +54,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, URL_RULES, URL_BLOCKED).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines of every text go, and a digest of what stays."""
     docs = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_url_filter": op3_url_filter,
+        "op4_simhash": op4_simhash,
         "op6_line_dedup": op6_line_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_token_counts": op10_token_counts,
