@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_classifier, quality_rules, sentencepiece_codec, simhash, token_counts, url_filter
+from . import decontamination, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash, substring_dedup, token_counts, url_filter
 
 #: The production vocabularies.
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -60,12 +60,41 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document whether it holds a test item, which one most of all, and how much of it."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontamination.leaks(docs, _table(spark, sf_dir, "benchmark"))
+    best = F.get("leaks", F.lit(0))
+    return marked.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        best["item_id"].alias("item_id"),
+        F.coalesce(best["coverage"], F.lit(0.0)).alias("coverage"),
+        F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines of every text go, and a digest of what stays."""
     docs = line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, in 24 shards whose counts differ by one at most."""
+    text = F.coalesce("text", F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    dealt = sharding.shard(rows, 24)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that an earlier one has."""
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every text."""
     return quality_classifier.quality_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -84,7 +113,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_url_filter": op3_url_filter,
         "op4_simhash": op4_simhash,
+        "op5_decontamination": op5_decontamination,
         "op6_line_dedup": op6_line_dedup,
+        "op7_sharding": op7_sharding,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_token_counts": op10_token_counts,
     }
