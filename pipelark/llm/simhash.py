@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,6 +198,29 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return groups(settled(rows), "doc_id")
 
 
+def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``df`` of each component: that of the smallest id (null ids last, then the smallest hash of the text).
+
+    Rows that repeat an id and text are one document, of which one row stays.
+    Columns are those of ``df``; an empty table gives an empty result.
+    """
+    names = df.columns
+    k1, k2, n = (free(names, x) for x in ("row_hash", "row_hash_too", "row_number"))
+    one = F.xxhash64(df[f"`{doc_id}`"], df[f"`{text}`"])
+    two = F.xxhash64(F.lit(1), df[f"`{doc_id}`"], df[f"`{text}`"])
+    keyed = df.withColumns({k1: one, k2: two})
+    small = keyed.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(f"`{text}`").alias("text"))
+    rows = fingerprints(small, "text", "fp", shingle, keep_text=False)
+    # Null ids come last, and texts tell apart rows of one id.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    found = groups(settled(rows.select("fp", place.alias("place"))), "place").filter("place = component")
+    stay = found.select("place.k1", "place.k2").distinct()
+    # The join leaves the rows of a key together, so that the window needs no shuffle.
+    left = keyed.join(stay.select(F.col("k1").alias(k1), F.col("k2").alias(k2)), [k1, k2])
+    first = left.withColumn(n, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1)))
+    return first.filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in names])
+
+
 def hexadecimal(fp: str):
     """A fingerprint in 16 small hexadecimal digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
