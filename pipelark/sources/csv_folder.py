@@ -3,7 +3,8 @@
 A folder holds ``<table>.json``, which declares the columns, and files named
 ``YYYY-MM-DD_HH-MM-SS.mmm_<table>.csv`` after the time from which on they have
 rows.  Files have no header, fields are quoted as in RFC 4180, and column 0 is
-the time.  From the names it is known which files a time window needs; only those
+the time.  Lines end in \\n or \\r\\n, also within one file; carriage returns at the
+end of a cell aren't kept.  From the names it is known which files a time window needs; only those
 are given to Spark.  A cell that isn't written as its type demands is null.
 """
 
@@ -97,19 +98,16 @@ def texts(spark: SparkSession, columns: list[tuple[str, Kind]], multiline: bool,
     """
     schema = T.StructType([T.StructField(str(i), T.StringType()) for i in range(len(columns))])
     reader = spark.readStream if streaming else spark.read
+    # Left to itself, the parser takes the line end of the first record for that of all.
+    reader = reader.option("lineSep", "\n") if multiline else reader
     return reader.schema(schema).options(header=False, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE", enforceSchema=True, encoding="UTF-8")
 
 
 def typed(raw: DataFrame, columns: list[tuple[str, Kind]]) -> DataFrame:
     """Cells as their types, in columns that are still called 0, 1, ..."""
-    last = len(columns) - 1
-    made = []
-    for i, (_, kind) in enumerate(columns):
-        text = F.col(f"`{i}`")
-        # Where files mix line ends, a carriage return stays in the last cell.
-        text = F.regexp_replace(text, "\r$", "") if i == last else text
-        made.append(cell(text, kind).cast(SPARK[kind]).alias(str(i)))
-    return raw.select(*made)
+    # Records end at \n, so that the other half of \r\n stays in the last cell that a record has.
+    cells = [F.rtrim(F.col(f"`{i}`"), F.lit("\r")) for i in range(len(columns))]
+    return raw.select(*[cell(c, kind).cast(SPARK[kind]).alias(str(i)) for i, (c, (_, kind)) in enumerate(zip(cells, columns))])
 
 
 def within(frame: DataFrame, column: str, start: datetime | None, end: datetime | None) -> DataFrame:

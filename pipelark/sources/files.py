@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 from ..errors import CatalogError
@@ -50,11 +52,5 @@ def first_record(spark: SparkSession, path: str) -> str | None:
 
 def fields(record: str) -> int:
     """How many fields a record has."""
-    count, quoted, start = 1, False, True
-    for c in record:
-        if c == '"' and (quoted or start):
-            quoted = not quoted
-        elif c == "," and not quoted:
-            count += 1
-        start = c == "," and not quoted
-    return count
+    # A field is quoted if a quote begins it; in quotes, two quotes are one.
+    return len(re.findall(r'(?:^|,)(?:"(?:[^"]|"")*"[^,]*|[^,]*)', record))

@@ -1,0 +1,91 @@
+import io
+import json
+import stat
+from datetime import datetime
+from pathlib import Path
+
+import pytest
+
+from pipelark.cli import main
+from pipelark.sources.csv_sink import store
+
+
+@pytest.fixture
+def cli(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("HOME", str(tmp_path / "home"))
+
+    def run(*words):
+        out = io.StringIO()
+        status = main(list(words), out, lambda: spark)
+        return status, out.getvalue() + capsys.readouterr().out, capsys.readouterr().err
+
+    return run
+
+
+def failing(cli, capsys, *words):
+    out = io.StringIO()
+    assert main(list(words), out, None) == 1
+    return capsys.readouterr().err
+
+
+def test_help(cli):
+    for words in ((), ("--help",), ("catalog",), ("query",), ("catalog", "add", "--help"), ("query", "run", "--help")):
+        status, out, _ = cli(*words)
+        assert status == 0 and "usage" in out
+
+
+def test_catalog(cli, tmp_path, capsys):
+    assert cli("catalog", "list")[1] == "(no tables registered)\n"
+    assert cli("catalog", "add", "requests", "--dir", "data/requests")[0] == 0
+    assert cli("catalog", "add", "users", "--account", "acc", "--container", "box")[0] == 0
+    home = tmp_path / "home/.pipelark/catalog.json"
+    assert json.loads(home.read_text()) == [{"table": "requests", "mode": "file", "dir": str(tmp_path / "data/requests")}, {"table": "users", "mode": "blob", "account": "acc", "container": "box"}]
+    assert stat.S_IMODE(home.stat().st_mode) == 0o600
+    assert cli("catalog", "list")[1].splitlines()[0].split() == ["TABLE", "MODE", "LOCATION"]
+    assert "acc/box" in cli("catalog", "list")[1]
+    assert "Directory:" in cli("catalog", "show", "requests")[1]
+    assert "already exists" in failing(cli, capsys, "catalog", "add", "users", "--dir", "x")
+    assert "needs 'container'" in failing(cli, capsys, "catalog", "add", "more", "--account", "x")
+    assert "specify" in failing(cli, capsys, "catalog", "add", "more")
+    assert "not in the catalog" in failing(cli, capsys, "catalog", "show", "nope")
+    assert "not found" in failing(cli, capsys, "catalog", "remove", "nope")
+    assert cli("catalog", "export", "--out", "snap.json")[0] == 0
+    assert json.loads(cli("catalog", "export")[1]) == json.loads(Path("snap.json").read_text())
+    assert cli("catalog", "remove", "users")[0] == 0
+    # One name that is taken, and nothing is loaded.
+    assert "already" in failing(cli, capsys, "catalog", "load", "snap.json")
+    assert "users" not in cli("catalog", "list")[1]
+    assert cli("catalog", "--catalog", "other.json", "load", "snap.json")[0] == 0
+    assert "users" in cli("--catalog=other.json", "catalog", "list")[1]
+    Path(".pipelark.json").write_text("[]")
+    assert cli("catalog", "list")[1] == "(no tables registered)\n"
+
+
+def test_bad_files(cli, capsys):
+    for text in ("{", "[1]", '[{"table": "t", "mode": "tape"}]', '[{"table": "t", "mode": "file"}]', '[{"mode": "file", "dir": "x"}]'):
+        Path("bad.json").write_text(text)
+        failing(cli, capsys, "--catalog", "bad.json", "catalog", "list")
+    assert "doesn't exist" in failing(cli, capsys, "catalog", "load", "none.json")
+    failing(cli, capsys, "bogus")
+    failing(cli, capsys, "catalog", "bogus")
+    failing(cli, capsys, "--catalog")
+
+
+def test_query(cli, spark, tmp_path, capsys):
+    rows = [(datetime(2024, 1, 1, 0, i), i, "ab"[i % 2]) for i in range(6)]
+    store(spark.createDataFrame(rows, "timestamp timestamp_ntz, n int, k string"), str(tmp_path / "t"), "t", "timestamp")
+    cli("catalog", "add", "t", "--dir", "t")
+    text = "t (*) | summarize n = count() by k | sort by k"
+    assert cli("query", "run", text)[1] == "n,k\n3,a\n3,b\n"
+    assert cli("query", "run", text, "--format", "table")[1] == "N  K\n3  a\n3  b\n"
+    Path("q.txt").write_text(text)
+    assert cli("query", "run", "--file", "q.txt", "--format", "jsonl", "--out", "o.jsonl")[0] == 0
+    assert Path("o.jsonl").read_text() == '{"k":"a","n":3}\n{"k":"b","n":3}\n'
+    spark.range(3).write.parquet(str(tmp_path / "p.parquet"))
+    cli("catalog", "add", "p", "--parquet", "p.parquet")
+    assert cli("query", "run", "p (*) | count")[1] == "count\n3\n"
+    assert "1:7" in failing(cli, capsys, "query", "run", "t (*) bogus")
+    assert "not in the catalog" in failing(cli, capsys, "query", "run", "nope (*)")
+    assert "give a query" in failing(cli, capsys, "query", "run")
+    assert "cannot read" in failing(cli, capsys, "query", "run", "--file", "none")

@@ -1,0 +1,238 @@
+"""Folders of CSV files: which files a window needs, how cells are read, and queries over a week of requests."""
+
+import json
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from pipelark import engine
+from pipelark.errors import CatalogError, QueryTypeError
+from pipelark.functions import spans
+from pipelark.plans.types import Kind
+from pipelark.sources import csv_folder, files
+from pipelark.sources.catalog import Catalog, Entry
+from pipelark.sources.csv_sink import store
+
+STAMPS = """2026-05-01_00-00-11.758 2026-05-01_12-01-17.310 2026-05-02_00-00-20.080 2026-05-02_12-00-07.485 2026-05-03_00-02-11.070
+2026-05-03_12-03-03.734 2026-05-04_00-00-16.068 2026-05-04_12-02-23.050 2026-05-05_00-01-18.682 2026-05-05_12-00-27.954
+2026-05-06_00-01-04.289 2026-05-06_12-00-34.356 2026-05-07_00-05-53.101 2026-05-07_12-00-51.148""".split()
+
+COLUMNS = [("timestamp", "datetime"), ("requestId", "string"), ("userId", "string"), ("requestCode", "string"), ("statusCode", "int"), ("durationMs", "real"), ("region", "string"), ("ttl", "timespan")]
+
+
+def schema(name, columns):
+    return json.dumps({"name": name, "orderedColumns": [{"name": n, "type": t} for n, t in columns]})
+
+
+def stamp(text):
+    return datetime.strptime(text, "%Y-%m-%d_%H-%M-%S.%f")
+
+
+def written(moment):
+    return f"{moment:%Y-%m-%d %H:%M:%S}.{moment.microsecond // 1000:03d}"
+
+
+@pytest.fixture(scope="module")
+def requests(tmp_path_factory):
+    """Fourteen files of 500 rows, two a day; the first rows of a file are at the time in its name."""
+    folder = tmp_path_factory.mktemp("data") / "requests"
+    folder.mkdir()
+    (folder / "requests.json").write_text(schema("requests", COLUMNS))
+    rng, number = random.Random(7), 0
+    for name in STAMPS:
+        start = stamp(name)
+        end = start.replace(hour=start.hour // 12 * 12, minute=0, second=0, microsecond=0) + timedelta(hours=12)
+        rest = sorted(rng.randrange(1, int((end - start) / timedelta(milliseconds=1))) for _ in range(499))
+        rows = []
+        for offset in [0, *rest]:
+            number += 1
+            code = rng.choice(["login", "logout", "signup"])
+            row = [written(start + timedelta(milliseconds=offset)), f"req-{number:07d}", rng.choice(["", "user-001", "user-002", "user-003"]), code]
+            row += [str(rng.choice([200, 201, 400, 500])), f"{rng.uniform(1, 400):.3f}", rng.choice(["", "eastus", "westus"]), rng.choice(["", "15m", "1h", "24h"])]
+            rows.append(",".join(row))
+        (folder / f"{name}_requests.csv").write_text("\n".join(rows) + "\n")
+    return str(folder)
+
+
+@pytest.fixture
+def count(spark, requests):
+    catalog = Catalog([Entry("requests", "file", dir=requests)])
+    return lambda text: engine.execute(spark, f"requests ({text}) | count", catalog, datetime(2026, 5, 8)).collect()[0][0]
+
+
+@pytest.mark.parametrize(
+    ("window", "rows"),
+    [
+        ("*", 7000),
+        ("datetime(2026-05-03) .. datetime(2026-05-04)", 1000),
+        ("datetime(2026-05-01) .. datetime(2026-05-02)", 1000),
+        ("datetime(2026-05-07) .. datetime(2026-05-08)", 1000),
+        ("datetime(2026-05-03) .. datetime(2026-05-06)", 3000),
+        ("datetime(2020-01-01) .. datetime(2020-02-01)", 0),
+        ("datetime(2026-05-01 00:00:11.759) .. datetime(2027-01-01)", 6999),
+        ("datetime(2020-01-01) .. datetime(2026-05-01 11:59:59.999)", 500),
+        ("datetime(2026-05-01 00:00:11.759) .. datetime(2026-05-01 11:59:59.999)", 499),
+        ("last 24h", 1000),
+        ("datetime(2026-05-04) .. datetime(2026-05-03)", 0),
+    ],
+)
+def test_windows(count, window, rows):
+    assert count(window) == rows
+
+
+def test_a_day_reads_three_files_of_fourteen(spark, requests):
+    catalog = Catalog([Entry("requests", "file", dir=requests)])
+    assert len(engine.execute(spark, "requests (datetime(2026-05-03) .. datetime(2026-05-04))", catalog).inputFiles()) == 3
+
+
+def test_parts_make_the_whole(spark, requests):
+    catalog = Catalog([Entry("requests", "file", dir=requests)])
+    run = lambda text: [tuple(r) for r in engine.execute(spark, text, catalog).collect()]
+    assert sum(n for n, _ in run("requests (*) | summarize count() by region")) == 7000
+    assert run("requests (*) | where statusCode >= 400 | count")[0][0] + run("requests (*) | where statusCode < 400 | count")[0][0] == 7000
+    assert run("requests (*) | where isnull(ttl) | count")[0][0] + run("requests (*) | where isnotnull(ttl) | count")[0][0] == 7000
+    (low, high), *_ = run("requests (*) | summarize a = min(ttl), b = max(ttl)")
+    assert (low, high) == (timedelta(minutes=15), timedelta(hours=24))
+
+
+NAMES = [f"{s}_t.csv" for s in STAMPS]
+
+
+@pytest.mark.parametrize(
+    ("start", "end", "expected"),
+    [
+        (None, None, NAMES),
+        ("2026-05-01_12-01-17.310", None, NAMES[1:]),
+        ("2026-05-01_12-01-17.309", None, NAMES),
+        ("2020-01-01_00-00-00.000", None, NAMES),
+        ("2030-01-01_00-00-00.000", None, NAMES[-1:]),
+        (None, "2026-05-01_12-01-17.310", NAMES[:2]),
+        (None, "2026-05-01_12-01-17.309", NAMES[:1]),
+        (None, "2020-01-01_00-00-00.000", []),
+        ("2026-05-02_01-00-00.000", "2026-05-02_02-00-00.000", NAMES[2:3]),
+        ("2026-05-03_00-00-00.000", "2026-05-02_00-00-00.000", []),
+    ],
+)
+def test_needed(start, end, expected):
+    shuffled = [*NAMES, "t.json", "notes.txt", "2026-05-01_00-00-00.000_a_t.csv", "2026-13-01_00-00-00.000_t.csv"]
+    random.Random(1).shuffle(shuffled)
+    assert csv_folder.needed(shuffled, "t", start and stamp(start), end and stamp(end)) == expected
+
+
+CELLS = {
+    Kind.INT: {"5": 5, "-5": -5, "+7": 7, " 5": None, "1.5": None, "3000000000": None, "": None, "x": None, "2147483647": 2**31 - 1},
+    Kind.REAL: {"1.5": 1.5, ".5": 0.5, "5.": 5.0, "1e3": 1000.0, "-2E-2": -0.02, "1e400": None, "1d": None, "1f": None, "inf": float("inf"), "-Infinity": float("-inf"), " 1": None, "": None},
+    Kind.BOOL: {"1": True, "t": True, "TRUE": True, "0": False, "F": False, "False": False, "yes": None, "tRue": None, "": None},
+    Kind.DATETIME: {"2026-05-01 00:00:11.758": datetime(2026, 5, 1, 0, 0, 11, 758000), "2026-05-01T00:00:11.758Z": None, "2026-05-01": None, "2026-05-01 00:00:11": None, "2026-02-30 00:00:00.000": None, "": None},
+    Kind.STRING: {"a b": "a b", "": None, " ": " "},
+    Kind.DYNAMIC: {'{"a":1}': '{"a":1}', "": None},
+    Kind.TIMESPAN: {
+        "1h10m10s": timedelta(hours=1, minutes=10, seconds=10),
+        "15m": timedelta(minutes=15),
+        "-1.5h": timedelta(hours=-1.5),
+        "500ms": timedelta(milliseconds=500),
+        "0": timedelta(0),
+        "2us": timedelta(microseconds=2),
+        "3µs": timedelta(microseconds=3),
+        "1500ns": timedelta(microseconds=1),
+        "-1500ns": timedelta(microseconds=-1),
+        ".5s": timedelta(seconds=0.5),
+        "5.s": timedelta(seconds=5),
+        "100000h": timedelta(hours=100000),
+        "0.000001s": timedelta(microseconds=1),
+        "1d": None,
+        "5": None,
+        "h": None,
+        "1h 5m": None,
+        "": None,
+    },
+}
+
+
+@pytest.mark.parametrize("kind", CELLS, ids=lambda k: k.value)
+def test_cells(spark, kind):
+    rows = list(CELLS[kind].items())
+    frame = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(rows)], "i int, raw string")
+    found = frame.select("i", csv_folder.cell(F.col("raw"), kind).alias("v")).orderBy("i").collect()
+    assert {rows[r.i][0]: r.v for r in found} == dict(rows)
+
+
+def test_durations_in_python_and_spark_agree():
+    for raw, expected in CELLS[Kind.TIMESPAN].items():
+        micros = spans.microseconds(raw)
+        assert (None if micros is None else timedelta(microseconds=micros)) == expected
+
+
+def folder(tmp_path, columns, files_):
+    path = tmp_path / "t"
+    path.mkdir()
+    (path / "t.json").write_text(schema("t", columns))
+    for name, text in files_.items():
+        (path / f"{name}_t.csv").write_bytes(text.encode())
+    return Catalog([Entry("t", "file", dir=str(path))])
+
+
+def test_records(spark, tmp_path):
+    """Quotes, line ends in quotes, mixed line ends, short and long records, a quote inside a field, an empty file."""
+    columns = [("timestamp", "datetime"), ("a", "string"), ("b", "int"), ("c", "dynamic")]
+    t = "2026-01-01 00:00:00.000"
+    text = f'{t},"x, ""y""",1,"{{""k"": 1}}"\r\n{t},"two\nlines",2,z\n{t},"",,\r\n{t},short\n{t},m"id,5,c,extra\n'
+    catalog = folder(tmp_path, columns, {"2026-01-01_00-00-00.000": text, "2026-01-02_00-00-00.000": ""})
+    found = [tuple(r) for r in engine.execute(spark, "t (*) | project a, b, c", catalog).collect()]
+    assert found == [('x, "y"', 1, '{"k": 1}'), ("two\nlines", 2, "z"), (None, None, None), ("short", None, None), ('m"id', 5, "c")]
+
+
+def test_dynamic_column(spark, tmp_path):
+    columns = [("timestamp", "datetime"), ("id", "string"), ("meta", "dynamic"), ("score", "int")]
+    metas = ['{""env"":""prod"",""version"":2}', '{""env"":""dev"",""version"":1}', '{""env"":""prod"",""version"":3}', ""]
+    rows = "".join(f'2026-01-01T00:00:0{i}Z,r{i + 1},"{m}",{s}\n' for i, (m, s) in enumerate(zip(metas, (100, 200, 150, 50))))
+    catalog = folder(tmp_path, columns, {"2026-01-01_00-00-00.000": rows})
+    run = lambda text: [tuple(r) for r in engine.execute(spark, text, catalog).collect()]
+    assert run("t (*) | count") == [(4,)]
+    assert run('t (*) | where meta == "{\\"env\\":\\"prod\\",\\"version\\":2}" | project id') == [("r1",)]
+    assert len(run("t (*) | summarize count() by meta")) == 4
+    assert run("t (*) | where isnull(timestamp) | count") == [(4,)]
+    with pytest.raises(QueryTypeError, match="not applicable to dynamic"):
+        run('t (*) | where meta contains "x"')
+
+
+def test_first_row_is_checked(spark, tmp_path):
+    catalog = folder(tmp_path, [("timestamp", "datetime"), ("a", "string")], {"2026-01-01_00-00-00.000": '2026-01-01 00:00:00.000,"x,y",z\n'})
+    with pytest.raises(CatalogError, match="2026-01-01_00-00-00.000_t.csv: first row has 3 fields, expected 2"):
+        engine.execute(spark, "t (*)", catalog)
+
+
+def test_no_files_is_an_empty_table(spark, tmp_path):
+    catalog = folder(tmp_path, [("timestamp", "datetime"), ("a", "string")], {})
+    frame = engine.execute(spark, "t (*)", catalog)
+    assert frame.columns == ["timestamp", "a"] and frame.count() == 0
+
+
+def test_faults(spark, tmp_path):
+    for text in ("{", '{"orderedColumns": []}', '{"orderedColumns": [{"name": "a", "type": "uuid"}]}', "[]"):
+        with pytest.raises(CatalogError):
+            csv_folder.read_schema(text)
+    with pytest.raises(CatalogError, match="doesn't exist"):
+        engine.execute(spark, "t (*)", Catalog([Entry("t", "file", dir=str(tmp_path / "none"))]))
+    assert [files.fields(r) for r in ("a,b", 'a,"b,c"', "", 'a,b"c,d', '"a""b,",c')] == [2, 2, 1, 3, 2]
+
+
+def test_store_and_read_back(spark, tmp_path):
+    t = datetime(2026, 1, 1, 10, 0, 0, 500000)
+    rows = [(i, t + timedelta(hours=7 * i), f'text, "{i}"' if i else None, i % 2 == 0, timedelta(seconds=1.5 * i), i / 3) for i in range(10)]
+    frame = spark.createDataFrame(rows, "n int, at timestamp_ntz, s string, b boolean, d interval day to second, x double")
+    store(frame, str(tmp_path / "t"), "t", "at")
+    catalog = Catalog([Entry("t", "file", dir=str(tmp_path / "t"))])
+    found = engine.execute(spark, "t (*) | sort by n | project n, at, s, b, d, x", catalog).collect()
+    assert [tuple(r) for r in found] == rows
+    assert len(list((tmp_path / "t").glob("*_t.csv"))) == 4
+
+
+def test_a_blob_table_needs_a_key(spark, monkeypatch):
+    monkeypatch.delenv("PIPELARK_KEY_ACC", raising=False)
+    entry = Entry("t", "blob", account="acc", container="box")
+    assert entry.folder() == "wasbs://box@acc.blob.core.windows.net"
+    with pytest.raises(CatalogError, match="PIPELARK_KEY_ACC"):
+        entry.load(spark, None, None)

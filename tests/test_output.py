@@ -1,0 +1,68 @@
+import io
+from datetime import datetime, timedelta
+
+import pytest
+
+from pipelark import engine, output
+from pipelark.functions.spans import spelled
+from pipelark.sources.catalog import Catalog, Entry
+
+
+@pytest.mark.parametrize(
+    ("value", "expected"),
+    [(1.0, "1"), (0.1, "0.1"), (-2.5, "-2.5"), (100000.0, "100000"), (1000000.0, "1e+06"), (1234567.5, "1.2345675e+06"), (0.0001, "0.0001"), (0.00001234, "1.234e-05"), (1e100, "1e+100"), (0.0, "0"), (-0.0, "-0"), (float("nan"), "NaN"), (float("inf"), "+Inf"), (float("-inf"), "-Inf"), (173665.47, "173665.47")],
+)
+def test_number(value, expected):
+    assert output.number(value) == expected
+
+
+@pytest.mark.parametrize(("value", "expected"), [(1.0, "1"), (1234567.0, "1234567"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (0.000001, "0.000001"), (1.5e-7, "1.5e-7"), (1e-10, "1e-10"), (-0.5, "-0.5")])
+def test_json_number(value, expected):
+    assert output.json_number(value) == expected
+
+
+@pytest.mark.parametrize(
+    ("seconds", "expected"), [(0, "0s"), (3600, "1h0m0s"), (900, "15m0s"), (1.5, "1.5s"), (0.25, "250ms"), (0.0015, "1.5ms"), (0.000002, "2µs"), (-5400, "-1h30m0s"), (86400, "24h0m0s"), (59.000001, "59.000001s")]
+)
+def test_spelled(seconds, expected):
+    assert spelled(timedelta(microseconds=round(seconds * 1_000_000))) == expected
+
+
+@pytest.fixture(scope="module")
+def result(spark):
+    rows = [(datetime(2024, 1, 2, 3, 4, 5, 600000), 1, 2.5, 'a,"b"', True, timedelta(minutes=15)), (None, None, None, None, None, None), (datetime(2024, 1, 2), 2, 1e6, "<&>", False, timedelta(0))]
+    frame = spark.createDataFrame(rows, "timestamp timestamp_ntz, n int, x double, name string, ok boolean, ttl interval day to second").coalesce(1)
+    return lambda text: engine.prepare(spark, text, Catalog([Entry("t", "dataframe", frame=frame)]))
+
+
+def shown(result, form):
+    out = io.StringIO()
+    output.write(result, form, out)
+    return out.getvalue()
+
+
+def test_table(result):
+    assert shown(result("t (*) | project n, name, ttl"), "table") == 'N  NAME   TTL\n1  a,"b"  15m0s\n          \n2  <&>    0s\n'
+
+
+def test_csv(result):
+    assert shown(result("t (*)"), "csv") == 'timestamp,n,x,name,ok,ttl\n2024-01-02T03:04:05.6Z,1,2.5,"a,""b""",true,15m0s\n,,,,,\n2024-01-02T00:00:00Z,2,1e+06,<&>,false,0s\n'
+
+
+def test_jsonl(result):
+    assert shown(result("t (*) | project n, x, name, ok, ttl"), "jsonl").splitlines() == [
+        '{"n":1,"name":"a,\\"b\\"","ok":true,"ttl":"15m0s","x":2.5}',
+        '{"n":null,"name":null,"ok":null,"ttl":null,"x":null}',
+        '{"n":2,"name":"\\u003c\\u0026\\u003e","ok":false,"ttl":"0s","x":1000000}',
+    ]
+
+
+def test_json(result):
+    assert shown(result("t (*) | where n == 1 | project n, timestamp"), "json") == '[\n  {\n    "n": 1,\n    "timestamp": "2024-01-02T03:04:05.6Z"\n  }\n]\n'
+    assert shown(result("t (*) | where n == 9"), "json") == "[]\n"
+
+
+def test_repeated_names(result):
+    found = result("t (*) | where n == 1 | project n, n = x")
+    assert shown(found, "jsonl") == '{"n":2.5}\n'
+    assert shown(found, "csv") == "n,n\n1,2.5\n"
