@@ -89,7 +89,7 @@ def tiles(item: np.ndarray, document: np.ndarray, seeds: list[tuple[int, int]],
     return found
 
 
-class Tests:
+class ItemBlock:
     """A block of test items, ready to be held against documents."""
 
     def __init__(self, items: list[tuple[object, str | None]]):
@@ -172,7 +172,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         parts.append(free([*names, *parts, out], "leaks_in_block"))
 
         def make(block=block):
-            tests = Tests(block.value)
+            tests = ItemBlock(block.value)
             return lambda texts: [pa.array([tests.leaks(t.as_py(), coverage) for t in texts], kind)]
 
         rows = extended(rows, text, [T.StructField(parts[-1], T.ArrayType(leak))], make)

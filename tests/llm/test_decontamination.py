@@ -1,0 +1,125 @@
+"""Greedy string tiling against a plain search, and leaks in whole, reordered and in part."""
+
+import random
+
+import numpy as np
+import pytest
+
+from pipelark.llm import decontamination, queries
+from pipelark.llm.decontamination import ItemBlock, leaks, tiles
+
+
+def plain(a, b, least):
+    """Greedy string tiling as it is defined: the longest unmarked match, again and again."""
+    in_a, in_b, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not in_a[i + k] and not in_b[j + k]:
+                    k += 1
+                if k >= least and (best is None or (-k, i, j) < best):
+                    best = (-k, i, j)
+        if best is None:
+            return out
+        k, i, j = -best[0], best[1], best[2]
+        in_a[i : i + k] = in_b[j : j + k] = [True] * k
+        out.append((i, j, k))
+
+
+def test_tiles():
+    rng = random.Random(2)
+    for _ in range(400):
+        a = [rng.randint(1, 4) for _ in range(rng.randint(3, 22))]
+        b = [rng.randint(1, 4) for _ in range(rng.randint(3, 36))]
+        seeds = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
+        assert tiles(np.array(a), np.array(b), seeds, 3) == plain(a, b, 3)
+
+
+def test_rolled_hashes():
+    row = np.array([3, 1, 4, 1, 5, 9, 2, 6, 3, 1, 4, 1, 5], dtype=np.uint64)
+    hashes = decontamination.rolled(row)
+    assert len(hashes) == 9 and hashes[0] == hashes[8] and len(set(hashes.tolist())) == 8
+    assert len(decontamination.rolled(row[:4])) == 0
+
+
+def test_leaks_against_a_plain_search(prose):
+    rng = random.Random(6)
+    items = [(k, prose(900 + k, 30)) for k in range(12)] + [(50, "too few words"), (51, None), (52, "")]
+    tests = ItemBlock(items)
+    for n in range(40):
+        parts = [prose(n, 40).split()]
+        for k in rng.sample(range(12), 2):
+            words = items[k][1].split()
+            at = rng.randint(0, 20)
+            parts.append(words[at : at + rng.randint(3, 30)])
+        rng.shuffle(parts)
+        text = " ".join(w for p in parts for w in p)
+        found = {x["item_id"]: (round(x["coverage"], 9), [tuple(t.values()) for t in x["tiles"]]) for x in tests.leaks(text, 0.2)}
+        expected = {}
+        for k, item in items:
+            words = decontamination.words(item)
+            cover = plain(words, decontamination.words(text), 5)
+            share = sum(t[2] for t in cover) / max(1, len(words))
+            if share >= 0.2:
+                expected[k] = (round(share, 9), cover)
+        assert found == expected
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark, prose):
+    return spark.createDataFrame([(k, prose(700 + k, 40), "x") for k in range(30)] + [(30, None, None), (31, "", ""), (None, prose(750, 40), None)], "item_id long, text string, leaks string")
+
+
+@pytest.mark.parametrize("block", [10**7, 900])
+def test_documents(spark, benchmark, prose, block):
+    """Whole, in capitals, with other punctuation, in reordered halves, twice, by halves only; in one block and in several."""
+    item = prose(703, 40)
+    words = item.split()
+    rows = [
+        (0, f"{prose(1, 100)} {item} {prose(2, 50)}", True),
+        (1, item.upper().replace(".", " !"), True),
+        (2, " ".join(words[20:]) + " " + prose(3, 30) + " " + " ".join(words[:20]), True),
+        (3, f"{item} {prose(4, 20)} {item}", True),
+        (4, " ".join(words[:22]), True),
+        (5, " ".join(words[:12]) + " " + prose(5, 60), False),
+        (6, prose(6, 400), False),
+        (7, " ".join(w for pair in zip(words, words[1:]) for w in (pair[0], "and")), False),
+        (8, None, False),
+        (9, "", False),
+        (10, prose(750, 40), True),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, expected boolean")
+    found = leaks(frame, benchmark, block_chars=block).collect()
+    assert {r.doc_id: bool(r.leaks) for r in found} == {i: e for i, _, e in rows}
+    assert {r.doc_id: [x.item_id for x in r.leaks] for r in found if r.leaks} == {0: [3], 1: [3], 2: [3], 3: [3], 4: [3], 10: [None]}
+    whole = next(r for r in found if r.doc_id == 0).leaks[0]
+    assert whole.coverage == 1.0 and [t.n_words for t in whole.tiles] == [40]
+    assert [t.n_words for t in next(r for r in found if r.doc_id == 2).leaks[0].tiles] == [20, 20]
+    assert sorted(r.doc_id for r in decontamination.decontaminate(frame, benchmark).collect()) == [5, 6, 7, 8, 9]
+
+
+def test_odd_rows(nasty, empty, others, benchmark):
+    found = leaks(nasty, benchmark)
+    others(found, ("leaks",))
+    assert all(r.leaks == [] for r in found.collect())
+    assert decontamination.decontaminate(nasty, benchmark).columns == nasty.columns
+    assert leaks(empty, benchmark).collect() == []
+    assert all(r.leaks == [] for r in leaks(nasty, benchmark.filter("false")).collect())
+
+
+def test_query(spark):
+    """Every document that holds an item word for word is found, and no document without a long part of one."""
+    d = "/root/testdata/sf0.01"
+    docs = {r.doc_id: " ".join(decontamination.words(r.text)) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    items = {r.item_id: " ".join(decontamination.words(r.text)) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    rows = queries.op5_decontamination(spark, d).collect()
+    assert len(rows) == len(docs)
+    held = {i: {k for k, item in items.items() if item in text} for i, text in docs.items()}
+    assert any(held.values())
+    for r in rows:
+        assert held[r.doc_id] <= set(r.item_ids) and r.contaminated == bool(r.item_ids)
+        for k in set(r.item_ids) - held[r.doc_id]:
+            words = items[k].split()
+            assert sum(" ".join(words[i : i + 5]) in docs[r.doc_id] for i in range(len(words) - 4)) >= len(words) // 4

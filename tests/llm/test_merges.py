@@ -1,0 +1,143 @@
+"""Prefix tables against the libraries whose results they must have."""
+
+import hashlib
+import random
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from pipelark.llm import queries, sentencepiece_codec, token_counts
+from pipelark.llm.merges import MergeVocabulary
+
+PIECES, BYTES = (public_tokenizers.path(n) for n in (queries.PIECES, queries.BYTES))
+ODD = ["  ", "   ", "\n", "\t", "\r", "▁", "▁▁", "é", "ü", "日本", "\U0001f600", "\x00", "\x1c", "\x85", " ", "　", "<s>", "<unk>", "<0x0A>", "<|endoftext|>", "<|endof", "'", "'s", "'re", "'ll", "'v", "0", "12", ",", ".", "!", "{", "}", "();", "ing", "the", "ción"]
+TEXTS = st.lists(st.one_of(st.sampled_from(ODD), st.text(max_size=6)), max_size=14).map("".join).filter(lambda t: not any(0xD800 <= ord(c) < 0xE000 for c in t))
+
+
+@pytest.fixture(scope="module")
+def codec():
+    with open(PIECES, "rb") as f:
+        return sentencepiece_codec.codec(f.read())
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+@pytest.fixture(scope="module")
+def counter():
+    with open(BYTES, "rb") as f:
+        return token_counts.counter(f.read())
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    made = Tokenizer.from_file(BYTES)
+    return lambda text: len(made.encode(text, add_special_tokens=False).ids)
+
+
+@settings(max_examples=600, deadline=None)
+@given(text=TEXTS)
+def test_ids_and_round_trip(codec, library, text):
+    ids = library.encode(text)
+    assert codec.encode(text) == ids
+    assert codec.decode(ids) == library.decode(ids)
+
+
+def test_decoding_any_ids(codec, library):
+    rng = random.Random(2)
+    for _ in range(3000):
+        ids = [rng.randrange(32000) if rng.random() < 0.4 else rng.randrange(300) for _ in range(rng.randint(0, 8))]
+        assert codec.decode(ids) == library.decode(ids)
+
+
+def test_long_runs(codec, library, prose):
+    for text in ("a" * 5000, " " * 3001, "xyz" * 2000 + " " * 40 + "é" * 500, prose(1, 3000)):
+        assert codec.encode(text) == library.encode(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=TEXTS)
+def test_counts_of_every_prefix(counter, tokenizer, text):
+    assert counter.prefixes(text).tolist() == [tokenizer(text[:i]) for i in range(len(text) + 1)]
+
+
+def test_budgets(counter, tokenizer, prose):
+    text = prose(3, 400)
+    table = counter.prefixes(text)
+    for budget in (0, 1, 7, 100, 10_000):
+        at = token_counts.fits(table, budget)
+        assert tokenizer(text[:at]) <= budget
+        assert all(tokenizer(text[:i]) > budget for i in range(at + 1, min(len(text), at + 12) + 1))
+
+
+def test_a_small_vocabulary_by_hand():
+    pieces = dict(enumerate(["a", "b", "c", "ab", "bc", "abc", "cab"]))
+    ids = {p: i for i, p in pieces.items()}
+    merges = {("a", "b"): 0, ("b", "c"): 1, ("ab", "c"): 2, ("c", "ab"): 3}
+    made = MergeVocabulary(pieces, lambda x, y: (merges[p], ids[pieces[x] + pieces[y]]) if (p := (pieces[x], pieces[y])) in merges else None)
+    split = lambda text: [pieces[i] if i >= 0 else "?" for i in made.split(text, lambda c: [-1])]
+    assert split("abc") == ["abc"]
+    assert split("bcab") == ["bc", "ab"]
+    assert split("cab") == ["cab"]
+    assert split("bbcx") == ["b", "bc", "?"]
+    assert made.counts("abcab") == [0, 1, 1, 1, 2, 2]
+
+
+def test_encode_and_decode_tables(nasty, empty, others, library):
+    found = sentencepiece_codec.decode(sentencepiece_codec.encode(nasty, PIECES), PIECES)
+    others(found, ("ids", "decoded"))
+    for row in found.select("text", "ids", "decoded").collect():
+        assert row.ids == library.encode(row.text or "")
+        assert row.decoded == library.decode(row.ids)
+    assert sentencepiece_codec.decode(sentencepiece_codec.encode(empty, PIECES), PIECES).collect() == []
+
+
+def test_token_budget_tables(nasty, empty, others, tokenizer):
+    found = token_counts.token_budget(nasty, BYTES, 100)
+    others(found, ("n_tokens", "fit_chars"))
+    for row in found.select("text", "n_tokens", "fit_chars").collect():
+        assert row.n_tokens == tokenizer(row.text or "")
+        assert tokenizer((row.text or "")[: row.fit_chars]) <= 100
+    assert token_counts.token_budget(empty, BYTES).collect() == []
+
+
+def test_prefix_table_column(spark, tokenizer):
+    frame = spark.createDataFrame([("it's  a\n test",), (None,)], "text string")
+    rows = token_counts.prefix_counts(frame, BYTES).collect()
+    assert rows[0].prefix_counts == [tokenizer("it's  a\n test"[:i]) for i in range(14)]
+    assert rows[1].prefix_counts == [0]
+
+
+def test_queries(spark, library, tokenizer):
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = queries.op2_sentencepiece(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+    rows = queries.op10_token_counts(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = tokenizer(texts[r.doc_id])
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+
+
+def test_no_other_models(tmp_path):
+    with pytest.raises(ValueError, match="byte-level"):
+        with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+            token_counts.PrefixCounter(f.read())
+
+
+def test_digests_of_empty_texts(spark):
+    frame = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    ids = sentencepiece_codec.encode(frame, PIECES)
+    assert ids.select(F.size("ids")).distinct().collect()[0][0] == 0

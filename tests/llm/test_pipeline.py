@@ -1,0 +1,93 @@
+"""The pipeline stage by stage against the operators' plain versions, and its guard."""
+
+import importlib.util
+import subprocess
+import sys
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from test_decontamination import plain as plain_tiles
+from test_lines_and_spans import without_lines
+from test_near_duplicates import classes, fingerprint
+
+import __spark_entry__
+import corpus_pipeline
+from pipelark.llm import decontamination, queries, sentencepiece_codec
+
+
+@pytest.fixture(scope="module")
+def folder(spark, prose, tmp_path_factory):
+    """Documents with junk, shared lines, copies, near copies and leaks."""
+    place = str(tmp_path_factory.mktemp("sf"))
+    item = prose(900, 40)
+    shared = "All rights reserved by the authors."
+    texts = [f"{shared}\n{prose(i, 200)}" for i in range(20)]
+    texts += [prose(0, 200)] * 3 + [f"{prose(30, 150)} {item}", prose(31, 20), None, "", "LOUD!! " * 120]
+    texts += [" | ".join(prose(40 + i, 120).split()) for i in range(3)] + [prose(3, 200) + " more"]
+    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[5], (None, prose(60, 90), None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([(0, item), (1, prose(901, 30)), (2, None)], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    return place
+
+
+def rows_of(frame):
+    return [(r.doc_id, r.text) for r in frame.collect()]
+
+
+def test_stages(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, given = docs.columns, rows_of(docs)
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+        found = rows_of(docs)
+        if name != "sentencepiece":
+            assert docs.columns == columns
+        if name == "quality rules":
+            assert set(found) <= set(given)
+            ids = {i for i, _ in found}
+            assert set(range(23)) | {23, None} <= ids and not ids & {24, 25, 26, 27}
+        elif name == "line dedup":
+            assert sorted(map(repr, found)) == sorted(repr((i, t)) for i, t, _, _ in without_lines(given))
+            assert all(r.n_chars == len(r.text) for r in docs.collect())
+        elif name == "simhash near-dedup":
+            assert set(found) <= set(given)
+            assert sorted(repr(i) for i, _ in found) == sorted(map(repr, classes([(i, fingerprint(t)) for i, t in given])))
+        elif name == "benchmark decontamination":
+            item = decontamination.words(spark.read.parquet(f"{folder}/benchmark.parquet").filter("item_id = 0").first().text)
+            clean = [(i, t) for i, t in given if sum(x[2] for x in plain_tiles(item, decontamination.words(t), 5)) < len(item) / 2]
+            assert sorted(map(repr, found)) == sorted(map(repr, clean)) and len(clean) == len(given) - 1
+        else:
+            library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.PIECES))
+            texts = dict(given)
+            for r in docs.collect():
+                assert r.ids == library.encode(texts[r.doc_id]) and r.n_tokens == len(r.ids) and r.text == library.decode(r.ids)
+        given = found
+    assert sorted(map(repr, rows_of(corpus_pipeline.run(spark, folder)))) == sorted(map(repr, given))
+
+
+def test_empty_documents(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/documents.parquet").filter("false").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_registered():
+    names = [n for n in __spark_entry__.queries() if n.startswith("op")]
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11))
+    assert "pipeline" in __spark_entry__.queries()
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_nothing_else_imports_the_subpackage():
+    code = "import sys, pipelark.engine, pipelark.cli, pipelark.catalogue_queries, pipelark.streaming.follow; assert not [m for m in sys.modules if m.startswith('pipelark.llm')]"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=importlib.util.find_spec("pipelark").submodule_search_locations[0] + "/..")
+
+
+def test_a_codec_is_built_once(monkeypatch):
+    model = open(public_tokenizers.path(queries.PIECES), "rb").read()
+    assert sentencepiece_codec.codec(model) is sentencepiece_codec.codec(bytes(bytearray(model)))
