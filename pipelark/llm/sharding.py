@@ -66,6 +66,12 @@ def communication_matrix(sent: list[int], sizes: list[int], seed: int) -> np.nda
     return matrix
 
 
+def _ends_up_to(ends: Column, rank: Column, n: int) -> Column:
+    """How many of ``n`` ascending ``ends`` are at most ``rank``, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(ends, at + step - 1) <= rank, at + step).otherwise(at))
+
+
 def shard(df: DataFrame, shards: int, seed: int = 42) -> DataFrame:
     """``df`` with ``shard`` (0 on, int) and ``slot`` (its place in the shard, 0 on, long).
 
@@ -93,14 +99,11 @@ def shard(df: DataFrame, shards: int, seed: int = 42) -> DataFrame:
     # Permute within partitions: after the sort, a row's number in its partition is its rank.
     mixed = rows.withColumn(draw, F.rand(seed)).sortWithinPartitions(draw).withColumn(place, F.monotonically_increasing_id())
     ranked = mixed.withColumns({part: F.shiftright(place, 33).cast("int"), rank: F.col(place).bitwiseAND((1 << 33) - 1)})
-    dealt = ranked.join(table, part).withColumn(target, F.size(F.filter(sends, lambda end: end <= F.col(rank))))
+    dealt = ranked.join(table, part).withColumn(target, _ends_up_to(F.col(sends), F.col(rank), len(sizes)))
     # Exchange, and permute again within targets.
     order = Window.partitionBy(target).orderBy(F.xxhash64(F.lit(seed), F.col(place)), F.col(place))
-    begins, at = [], 0
-    for i, size in enumerate(sizes):
-        at = 0 if i % each == 0 else at
-        begins.append(at)
-        at += size
-    begin: Column = F.get(F.array(*[F.lit(b).cast("long") for b in begins]), F.col(target))
+    own, number = F.floor(F.col(target) / each), F.col(target) % each
+    size = F.lit(total // shards) + (own < total % shards).cast("long")
+    begin = number * F.floor(size / each) + F.least(number, size % each)
     slots = dealt.withColumn("slot", begin + F.row_number().over(order) - 1)
-    return slots.select(*[F.col(f"`{c}`") for c in kept], F.floor(F.col(target) / each).cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
+    return slots.select(*[F.col(f"`{c}`") for c in kept], own.cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
