@@ -1,4 +1,4 @@
-"""The command line: ``python -m pipelark [--catalog FILE] catalog|query VERB ...``.
+"""The command line: ``python -m pipelark [--catalog FILE] catalog|query|sample VERB ...``.
 
 Help ends with status 0, any fault with status 1 and a message on standard error.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from . import engine, output
 from .errors import CatalogError, QueryError
 from .plans import parser as language
+from .sources import sample
 from .sources.catalog import Catalog, Entry
 
 LOCAL, HOME = Path(".pipelark.json"), Path(".pipelark/catalog.json")
@@ -113,6 +114,11 @@ def _run(args, out, session: Callable[[], SparkSession]) -> None:
         output.write(result, args.format or ("table" if out.isatty() else "csv"), out)
 
 
+def _sample(args, out, session: Callable[[], SparkSession]) -> None:
+    sample.write(session(), str(Path(args.dir).absolute()), args.files, args.rows, args.seed)
+    out.write(f"wrote tables requests and users to {args.dir}\n")
+
+
 def arguments() -> argparse.ArgumentParser:
     top = _Parser(prog="pipelark", description="Queries over time-stamped tables, run by Spark.", epilog="--catalog FILE may stand anywhere; without it .pipelark.json here, else ~/.pipelark/catalog.json is used.")
     nouns = top.add_subparsers(dest="noun", title="nouns", parser_class=_Parser)
@@ -144,7 +150,14 @@ def arguments() -> argparse.ArgumentParser:
     run.add_argument("--file", help="read the query from this file")
     run.add_argument("--format", choices=sorted(output.FORMATS), help="table on a terminal and csv elsewhere if not given")
     run.add_argument("--out", help="write to this file")
-    top.nouns = {"catalog": catalog, "query": query}
+
+    samples = nouns.add_parser("sample", help="make sample tables")
+    verbs = samples.add_subparsers(dest="verb", title="commands", parser_class=_Parser)
+    write = verb("write", "write the tables requests and users as folders of CSV files", _sample)
+    write.add_argument("dir")
+    for name, default in (("files", 14), ("rows", 500), ("seed", 42)):
+        write.add_argument(f"--{name}", type=int, default=default)
+    top.nouns = {"catalog": catalog, "query": query, "sample": samples}
     return top
 
 
@@ -181,7 +194,7 @@ def main(words: list[str] | None = None, out=None, session: Callable[[], SparkSe
             out.write(top.nouns.get(args.noun, top).format_help())
             return 0
         args.catalog = chosen
-        args.run(args, out, session) if args.run is _run else args.run(args, out)
+        args.run(args, out, session) if args.run in (_run, _sample) else args.run(args, out)
     except SystemExit as ended:  # help
         return ended.code or 0
     except Exception as fault:  # whatever Spark finds while it runs is one, too

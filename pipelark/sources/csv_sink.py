@@ -12,7 +12,7 @@ from ..plans.types import Kind
 from .frames import fitted
 
 #: Formats that cut times down to the period of a file.
-PERIODS = {"day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH", "minute": "yyyy-MM-dd HH:mm"}
+PERIODS = {"day": "yyyy-MM-dd", "half-day": "yyyy-MM-dd a", "hour": "yyyy-MM-dd HH", "minute": "yyyy-MM-dd HH:mm"}
 
 
 def _spelled(column: Column, kind: Kind) -> Column:
