@@ -39,8 +39,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every text, as digests."""
     path = public_tokenizers.path(PIECES)
-    ids = sentencepiece_codec.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    both = sentencepiece_codec.decode(ids, path)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_codec.encode(docs, path, decoded="decoded", keep_text=False)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

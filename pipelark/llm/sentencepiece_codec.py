@@ -114,29 +114,38 @@ def _shipped(df: DataFrame, path: str):
         return ready(df.sparkSession).sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _ids(rows: list[list[int]]) -> pa.Array:
+    values, ends = array.array("i"), [0]
+    for row in rows:
+        values.extend(row)
+        ends.append(len(values))
+    flat = pa.array(np.frombuffer(values, dtype=np.int32) if len(values) else [], pa.int32())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+
+def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
     """``df`` with the token ids of its texts as ``ids`` (array of int).
 
-    Null and empty texts have no ids.  Rows are kept as they are, repeated ones
-    and those with nulls elsewhere included; other columns pass through, and one
-    named like the result is replaced.  An empty table gives an empty result.
+    With ``decoded`` there is a column of that name with the text that the ids
+    give back, from the same pass over the rows.  Null and empty texts have no
+    ids.  Rows are kept as they are, repeated ones and those with nulls elsewhere
+    included; other columns pass through (``text`` if ``keep_text``), and those
+    named like results are replaced.  An empty table gives an empty result.
     """
     model = _shipped(df, model_path)
 
     def make():
-        encoder = codec(model.value)
+        made = codec(model.value)
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            values, ends = array.array("i"), [0]
-            for t in texts:
-                values.extend(encoder.encode(t.as_py() or ""))
-                ends.append(len(values))
-            flat = pa.array(np.frombuffer(values, dtype=np.int32) if len(values) else [], pa.int32())
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            rows = [made.encode(t.as_py() or "") for t in texts]
+            back = [pa.array([made.decode(r) for r in rows], pa.string())] if decoded else []
+            return [_ids(rows), *back]
 
         return work
 
-    return extended(df, text, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    return extended(df, text, fields, make, keep_text)
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -147,13 +156,12 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
     sent = df.select(*[df[f"`{c}`"] for c in known])
 
     def work(batches):
-        decoder = codec(model.value)
+        made = codec(model.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 column = part.column(part.schema.get_field_index(ids))
-                flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-                texts = [decoder.decode(flat[a:b].tolist()) if a < b else "" for a, b in zip(ends[:-1], ends[1:])]
+                texts = [made.decode(row.as_py() or ()) for row in column]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return sent.mapInArrow(work, schema)
