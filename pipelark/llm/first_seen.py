@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keys that are treated as frequent at most, items that the sketch tracks, and rows of a frequent key at least.
-FREQUENT_KEYS, TRACKED, FREQUENT_ROWS = 10_000, 100_000, 2_000
+FREQUENT_KEYS, TRACKED, FREQUENT_ROWS = 10_000, 20_000, 2_000
+
+#: Groups of tasks whose sketches meet first.
+SKETCH_GROUPS = 1024
 
 
 def key(text: Column) -> list[Column]:
@@ -25,8 +28,12 @@ def key(text: Column) -> list[Column]:
 def frequent(rows: DataFrame) -> DataFrame:
     """Values of ``h1`` with very many rows, ``FREQUENT_KEYS`` of them at most."""
     spark = rows.sparkSession
-    found = rows.agg(F.expr(f"approx_top_k(h1, {FREQUENT_KEYS}, {TRACKED})").alias("top")).collect()[0]["top"] or []
-    return spark.createDataFrame([(x["item"],) for x in found if x["count"] >= FREQUENT_ROWS], "h1 long")
+    # Sketches of tasks meet in groups first, so that no task reads those of all.
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
+    sketches = rows.groupBy(group.alias("part")).agg(F.expr(f"approx_top_k_accumulate(h1, {TRACKED})").alias("sketch"))
+    top = F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {FREQUENT_KEYS})")
+    found = sketches.groupBy(F.expr("part < 0")).agg(top.alias("top")).collect()  # grouped: without sketches there is no row
+    return spark.createDataFrame([(x["item"],) for row in found for x in row["top"] if x["count"] >= FREQUENT_ROWS], "h1 long")
 
 
 def later(rows: DataFrame, whole_document: bool) -> DataFrame:
