@@ -30,7 +30,9 @@ class Entry:
     ``file``: a folder of CSV files with a schema file.  ``blob``: the same in a
     container of an Azure storage account.  ``parquet``: what ``spark.read.parquet``
     reads.  ``dataframe``: rows of the caller.  The last two name the column that
-    time windows are about, and columns of opaque text.
+    time windows are about, and columns of opaque text.  CSV files without line ends
+    in quotes may be registered as not ``multiline``, and are then read in pieces;
+    without ``check`` the first records of files aren't looked at beforehand.
     """
 
     table: str
@@ -43,6 +45,7 @@ class Entry:
     time_column: str | None = "timestamp"
     dynamic: tuple[str, ...] = ()
     multiline: bool = True
+    check: bool = True
 
     def __post_init__(self):
         if not self.table:
@@ -59,7 +62,7 @@ class Entry:
 
     def written(self) -> dict:
         """The entry as it stands in a catalog file: settings that say something."""
-        unsaid = {"time_column": "timestamp", "dynamic": (), "multiline": True}
+        unsaid = {"time_column": "timestamp", "dynamic": (), "multiline": True, "check": True}
         return {k: v for k, v in asdict(self).items() if k != "frame" and v is not None and unsaid.get(k, object()) != v}
 
     def folder(self) -> str:
@@ -73,7 +76,7 @@ class Entry:
         if self.mode in ("file", "blob"):
             if self.mode == "blob":
                 self.unlock(spark)
-            return csv_folder.load(spark, self.folder(), self.table, start, end, self.multiline)
+            return csv_folder.load(spark, self.folder(), self.table, start, end, self.multiline, self.check)
         frame = self.frame if self.mode == "dataframe" else spark.read.parquet(self.path)
         return frames.load(frame, self.table, self.time_column, frozenset(self.dynamic), start, end)
 
