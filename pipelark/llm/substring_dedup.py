@@ -6,10 +6,11 @@ all documents; of equal runs the first stays (smallest document, then smallest
 place), and sentences that lie in any other one are removed.  So a passage that
 two documents share goes from the second, and one document's own repeats go too.
 
-Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends.  One
-of more than ``LONG`` words is cut behind commas, colons and semicolons as well,
-so that a long sentence doesn't hide a shared passage.  White space and letter
-case don't count in comparisons.
+Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends.  Clauses
+(``,``, ``;``, ``:``) count as sentences of their own, and so do every ``LONG`` words
+of one that has more: otherwise a long sentence, or one that begins before a
+shared passage, would hide it.  White space and letter case don't count in
+comparisons.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .session import ready, settled
 
 LEAST_SENTENCES, LEAST_WORDS, LONG = 2, 20, 24
 
-_ENDS = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-_PAUSES = re.compile(r"(?<=[,;:])\s+")
+_ENDS = re.compile(r"(?<=[.!?,;:])\s+|\s*\n\s*")
+_WORDS = re.compile(r"\S+")
 
 
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
@@ -40,19 +41,12 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
 
     def add(start: int, end: int) -> None:
         words = text[start:end].lower().split()
-        if not words:
-            return
         if len(words) > LONG:
-            at = start
-            for pause in _PAUSES.finditer(text, start, end):
-                if pause.start() > at:
-                    part = text[at : pause.start()].lower().split()
-                    if part:
-                        found.append((at, pause.start(), " ".join(part), len(part)))
-                at = pause.end()
-            if at > start:
-                words, start = text[at:end].lower().split(), at
-        if words:
+            places = [m.span() for m in _WORDS.finditer(text, start, end)]
+            for i in range(0, len(words), LONG):
+                part = words[i : i + LONG]
+                found.append((places[i][0], places[i + len(part) - 1][1], " ".join(part), len(part)))
+        elif words:
             found.append((start, end, " ".join(words), len(words)))
 
     at = 0
@@ -63,8 +57,8 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
     return found
 
 
-def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes, first sentence and number of sentences of each run."""
+def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each run, and its place: first sentence (upper half) and number of sentences in one number."""
     found = sentences(text)
     digests = [xxhash.xxh3_128_digest(s[2]) for s in found]
     words = [s[3] for s in found]
@@ -81,43 +75,44 @@ def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int =
         h2.append(both & 0xFFFFFFFFFFFFFFFF)
         sizes.append(end - at)
         held -= words[at]
-    n = len(sizes)
-    return np.array(h1, np.uint64).view(np.int64), np.array(h2, np.uint64).view(np.int64), np.arange(n, dtype=np.int32), np.array(sizes, np.int32)
+    places = np.arange(len(sizes), dtype=np.int64) << 32 | np.array(sizes, np.int64)
+    return np.array(h1, np.uint64).view(np.int64), np.array(h2, np.uint64).view(np.int64), places
 
 
 def _hashed(rows: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """``h1``, ``h2``, ``doc``, ``version``, ``at`` and ``n`` of all runs; ``rows`` has doc, version and text."""
+    """``h1``, ``h2``, ``doc``, ``version`` and ``at`` (the place) of all runs; ``rows`` has doc, version and text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 each = [spans(t.as_py() or "", least_sentences, least_words) for t in part.column(2)]
-                rows_ = pa.array(np.repeat(np.arange(len(each)), [len(x[3]) for x in each]))
-                h1, h2, at, n = (pa.array(np.concatenate([x[i] for x in each])) for i in range(4))
-                yield pa.RecordBatch.from_arrays([h1, h2, part.column(0).take(rows_), part.column(1).take(rows_), at, n], names=["h1", "h2", "doc", "version", "at", "n"])
+                rows_ = pa.array(np.repeat(np.arange(len(each)), [len(x[2]) for x in each]))
+                h1, h2, at = (pa.array(np.concatenate([x[i] for x in each])) for i in range(3))
+                yield pa.RecordBatch.from_arrays([h1, h2, part.column(0).take(rows_), part.column(1).take(rows_), at], names=["h1", "h2", "doc", "version", "at"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(work, f"h1 long, h2 long, doc {kind}, version long, at int, n int")
+    return rows.mapInArrow(work, f"h1 long, h2 long, doc {kind}, version long, at long")
 
 
 def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc``, ``version`` and ``spans`` (first sentence, sentences) of documents with runs that aren't the first of their kind."""
+    """``doc``, ``version`` and ``spans`` (places) of documents with runs that aren't the first of their kind."""
     ready(df.sparkSession)
     rows = df.select(df[f"`{doc_id}`"].alias("doc"), _version(df[f"`{text}`"]).alias("version"), df[f"`{text}`"].alias("text"))
     runs = settled(_hashed(rows, least_sentences, least_words))
     # As many as a document has sentences at most.
-    return first_seen.later(runs, whole_document=False).groupBy("doc", "version").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    return first_seen.later(runs, whole_document=False).groupBy("doc", "version").agg(F.collect_list("at").alias("spans"))
 
 
 def _version(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def without(text: str, gone: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """A text without the sentences of the spans, its sentences before and the number removed."""
+def without(text: str, gone: list[int]) -> tuple[str, int, int]:
+    """A text without the sentences of the spans (places), its sentences before and the number removed."""
     found = sentences(text)
     removed = np.zeros(len(found) + 1, dtype=np.int64)
-    for at, n in gone:
+    for place in gone:
+        at, n = place >> 32, place & 0xFFFFFFFF
         removed[at] += 1
         removed[at + n] -= 1
     removed = removed.cumsum()[:-1] > 0
@@ -149,7 +144,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
                 out = []
                 for t, spans_ in zip(part.column(at), part.column(part.num_columns - 1)):
                     found = spans_.as_py()
-                    out.append(without(t.as_py() or "", [(x["at"], x["n"]) for x in found or ()]) if found else (t.as_py(), len(sentences(t.as_py() or "")), 0))
+                    out.append(without(t.as_py() or "", found) if found else (t.as_py(), len(sentences(t.as_py() or "")), 0))
                 columns = [*part.columns[:-1], pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())]
                 columns[at] = pa.array([x[0] for x in out], pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)

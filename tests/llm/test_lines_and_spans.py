@@ -161,7 +161,8 @@ def test_sentences():
     assert [s[2] for s in found][3] == "four is 3.5 long."
     long = "begin " + "word " * 20 + "pause, " + "word " * 10 + "again; end"
     assert [s[3] for s in substring_dedup.sentences(long)] == [22, 11, 1]
-    assert [s[3] for s in substring_dedup.sentences("word " * 30)] == [30]
+    found = substring_dedup.sentences("  word " * 30)
+    assert [s[3] for s in found] == [24, 6] and found[0][2] == " ".join(["word"] * 24)
     assert substring_dedup.sentences("") == substring_dedup.sentences(" \n ") == []
 
 
