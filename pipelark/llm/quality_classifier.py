@@ -60,7 +60,7 @@ def _number(feature: str) -> int:
 
 def _word(word: str) -> tuple[int, int]:
     """The hashed shape of a word, and the hashed word itself if it is short (else -1)."""
-    shape = word[:64]
+    shape = word
     for pattern_, letter in _SHAPE:
         shape = pattern_.sub(letter, shape)
     return _number("shape " + shape), _number("word " + word.lower()) if len(word) <= 3 else -1

@@ -150,7 +150,9 @@ def quality_report(df: DataFrame, text: str = "text", threshold: float = 0.5) ->
 def quality_filter(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that stay, with its own columns only.
 
-    The measures are taken twice, once for the model and once beside the rows,
+    Null and empty texts fail the base limits and go.  Repeated rows stay or go
+    together; nulls and names of other columns don't matter; an empty table
+    gives an empty result.  The measures are taken twice, once for the model and once beside the rows,
     so that no text is written in between.
     """
     renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
