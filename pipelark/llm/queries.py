@@ -93,7 +93,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences that an earlier one has."""
-    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", (F.col("n_removed") > 0).alias("changed"), "n_sentences", "n_removed", "text")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
