@@ -20,13 +20,13 @@ from collections.abc import Callable, Sequence
 import ahocorasick
 
 #: Entries of the memo of pair tests; it is emptied when full, so memory is bounded.
-PAIRS_KEPT = 250_000
+PAIRS_KEPT = 400_000
 
 #: Stands for the start of a text and for a character outside the vocabulary.
 OPEN = -1
 
 #: Runs of text remembered in each of two generations, and the longest of them.
-RUNS_KEPT, RUN_LENGTH = 150_000, 40
+RUNS_KEPT, RUN_LENGTH = 250_000, 40
 
 Join = Callable[[int, int], "tuple[float, int] | None"]
 
