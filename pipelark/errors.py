@@ -21,3 +21,9 @@ class QueryTypeError(QueryError):
 
 class CatalogError(QueryError):
     """A table isn't registered, or an entry is wrong."""
+
+
+class UnknownTable(CatalogError, KeyError):
+    """A table isn't registered; as catalogs are mappings, it is a missing key, too."""
+
+    __str__ = Exception.__str__  # a KeyError would quote its message

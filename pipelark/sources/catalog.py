@@ -12,7 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import CatalogError
+from ..errors import CatalogError, UnknownTable
 from ..plans.types import Kind
 from . import csv_folder, frames
 
@@ -101,7 +101,7 @@ class Catalog(Mapping[str, Entry]):
         try:
             return self._entries[table]
         except KeyError:
-            raise CatalogError(f"table {table!r} is not in the catalog") from None
+            raise UnknownTable(f"table {table!r} is not in the catalog") from None
 
     def __iter__(self):
         return iter(self._entries)

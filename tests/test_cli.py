@@ -7,6 +7,8 @@ from pathlib import Path
 import pytest
 
 from pipelark.cli import main
+from pipelark.errors import CatalogError
+from pipelark.sources.catalog import Catalog, Entry
 from pipelark.sources.csv_sink import store
 
 
@@ -89,3 +91,10 @@ def test_query(cli, spark, tmp_path, capsys):
     assert "not in the catalog" in failing(cli, capsys, "query", "run", "nope (*)")
     assert "give a query" in failing(cli, capsys, "query", "run")
     assert "cannot read" in failing(cli, capsys, "query", "run", "--file", "none")
+
+
+def test_catalog_is_a_mapping():
+    catalog = Catalog([Entry("t", "parquet", path="p")])
+    assert catalog.get("t").location == "p" and catalog.get("u") is None and "u" not in catalog
+    with pytest.raises(CatalogError, match="^table 'u' is not in the catalog$"):
+        catalog["u"]
