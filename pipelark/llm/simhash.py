@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard
 from .batches import extended, free
 from .components import components
 from .session import ready, settled
@@ -180,11 +181,16 @@ def groups(rows: DataFrame, least: str) -> DataFrame:
     them is joined back, so that only small rows move with a frequent one.
     """
     distinct = rows.groupBy("fp").agg(F.min(least).alias("least"))
-    roots = components(linked(distinct.select("fp")))
+    found = _least(distinct, linked(distinct.select("fp"))).select(F.col("fp").alias("own_fp"), "component")
+    return rows.join(found, rows["fp"] == found["own_fp"]).drop("own_fp")
+
+
+def _least(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """``fp`` and ``component`` of the distinct ``fp``: the smallest ``least`` of all that links connect."""
+    roots = components(links)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(distinct["fp"], F.coalesce("root", distinct["fp"]).alias("root"), "least")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    found = rooted.join(smallest, "root").select(F.col("fp").alias("own_fp"), "component")
-    return rows.join(found, rows["fp"] == found["own_fp"]).drop("own_fp")
+    return rooted.join(smallest, "root").select("fp", "component")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -198,11 +204,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return groups(settled(rows), "doc_id")
 
 
-def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = jaccard.SHINGLE) -> DataFrame:
     """One row of ``df`` of each component: that of the smallest id (null ids last, then the smallest hash of the text).
 
-    Rows that repeat an id and text are one document, of which one row stays.
-    Columns are those of ``df``; an empty table gives an empty result.
+    Texts whose shingles have a Jaccard similarity of ``jaccard.LEAST`` or more
+    are linked, which 64 bits are too few to tell.  Rows that repeat an id and
+    text are one document, of which one row stays.  Columns are those of
+    ``df``; an empty table gives an empty result.
     """
     names = df.columns
     k1, k2, n = (free(names, x) for x in ("row_hash", "row_hash_too", "row_number"))
@@ -210,11 +218,15 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     two = F.xxhash64(F.lit(1), df[f"`{doc_id}`"], df[f"`{text}`"])
     keyed = df.withColumns({k1: one, k2: two})
     small = keyed.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(f"`{text}`").alias("text"))
-    rows = fingerprints(small, "text", "fp", shingle, keep_text=False)
+    rows = jaccard.signed(small, "text", shingle)
     # Null ids come last, and texts tell apart rows of one id.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    found = groups(settled(rows.select("fp", place.alias("place"))), "place").filter("place = component")
-    stay = found.select("place.k1", "place.k2").distinct()
+    # Of equal texts only the first can stay.
+    first = rows.groupBy("fp").agg(F.min(F.struct(place.alias("place"), "keys")).alias("first"))
+    distinct = settled(first.select("fp", F.col("first.place").alias("least"), F.col("first.keys").alias("keys"), "first.place.k1", "first.place.k2"))
+    links = jaccard.linked(distinct, small.select("k1", "k2", "text"), shingle)
+    found = _least(distinct.select("fp", "least"), links)
+    stay = found.select("component.k1", "component.k2").distinct()
     # The join leaves the rows of a key together, so that the window needs no shuffle.
     left = keyed.join(stay.select(F.col("k1").alias(k1), F.col("k2").alias(k2)), [k1, k2])
     first = left.withColumn(n, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1)))

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pipelark.llm import queries, simhash
+from pipelark.llm import jaccard, queries, simhash
 from pipelark.llm.components import components
 
 
@@ -166,3 +166,42 @@ def test_a_large_group_makes_links_in_proportion(spark):
     assert links.count() < 4 * 2000
     found = components(links)
     assert found.count() == 1999 and found.select("root").distinct().count() == 1
+
+
+def similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_finds_similar_texts_that_differ_by_many_bits(spark, prose):
+    """Copies with some words changed: those of a similarity of 0.8 or more go, the others stay."""
+    rng, rows, gone, far = random.Random(12), [], set(), 0
+    for n in range(60):
+        text = prose(n, 200)
+        words = text.split()
+        for at in rng.sample(range(len(words)), n % 12):
+            words[at] = f"changed{at}"
+        copy = " ".join(words)
+        rows += [(2 * n, text), (2 * n + 1, copy)]
+        if similarity(text, copy) >= 0.8:
+            gone.add(2 * n + 1)
+            far += (fingerprint(text) ^ fingerprint(copy)).bit_count() > 3
+    found = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in found.collect()} == set(range(120)) - gone
+    assert far > 5 and len(gone) < 60
+
+
+def test_forest_of_sets_joins_what_pairs_join():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        sets = [np.unique(rng.choice(14, rng.integers(1, 14), replace=False).astype(np.uint64)) for _ in range(rng.integers(2, 30))]
+        a, b = Union(), Union()
+        links = jaccard.forest(list(range(len(sets))), sets)
+        for x, y in links:
+            a.join(x, y)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
+                    b.join(i, j)
+        assert len(links) < len(sets)
+        assert [a.root(i) for i in range(len(sets))] == [b.root(i) for i in range(len(sets))]
