@@ -7,10 +7,15 @@ place), and sentences that lie in any other one are removed.  So a passage that
 two documents share goes from the second, and one document's own repeats go too.
 
 Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends.  Clauses
-(``,``, ``;``, ``:``) count as sentences of their own, and so do every ``LONG`` words
-of one that has more: otherwise a long sentence, or one that begins before a
+(``,``, ``;``, ``:``) count as sentences of their own, and long ones are cut at places
+that their words choose: otherwise a long sentence, or one that begins before a
 shared passage, would hide it.  White space and letter case don't count in
 comparisons.
+
+Of every ``WINDOW`` places in a clause (not next to its ends) the one whose two
+last words have the least hash is a cut.  So the cuts in a passage, but for those near its
+ends, are the same whatever stands around it.  One word again and again has no
+such place; it is cut every ``LONG`` words.
 """
 
 from __future__ import annotations
@@ -31,21 +36,42 @@ from .session import ready, settled
 
 LEAST_SENTENCES, LEAST_WORDS, LONG = 2, 20, 24
 
+#: Places of which one is a cut, and the seed of their hashes.
+WINDOW, SEED = 22, 5
+
 _ENDS = re.compile(r"(?<=[.!?,;:])\s+|\s*\n\s*")
 _WORDS = re.compile(r"\S+")
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """Numbers of words before each cut of a clause."""
+    found = []
+    if len(words) - 3 >= WINDOW:
+        hashes = np.array([xxhash.xxh3_64_intdigest(f"{a} {b}", SEED) for a, b in zip(words[:-3], words[1:-2])], np.uint64)
+        windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
+        last = WINDOW - 1 - windows[:, ::-1].argmin(1)  # the last one of equal places
+        places = np.arange(len(windows)) + last
+        # Equal neighbours: one word again and again.
+        single = (last > 0) & (hashes[places] == hashes[places - 1])
+        found = (np.unique(places[~single]) + 2).tolist()
+    out, before = [], 0
+    for cut in [*found, len(words)]:
+        out += [*range(before + LONG, cut, LONG), cut]
+        before = cut
+    return out[:-1]
+
+
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, compared text, words) of each sentence; the white space between is left out."""
     found = []
 
     def add(start: int, end: int) -> None:
         words = text[start:end].lower().split()
-        if len(words) > LONG:
+        if len(words) - 3 >= WINDOW or len(words) > LONG:
             places = [m.span() for m in _WORDS.finditer(text, start, end)]
-            for i in range(0, len(words), LONG):
-                part = words[i : i + LONG]
-                found.append((places[i][0], places[i + len(part) - 1][1], " ".join(part), len(part)))
+            cuts = _cuts(words)
+            for a, b in zip([0, *cuts], [*cuts, len(words)]):
+                found.append((places[a][0], places[b - 1][1], " ".join(words[a:b]), b - a))
         elif words:
             found.append((start, end, " ".join(words), len(words)))
 

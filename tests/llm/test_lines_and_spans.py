@@ -173,6 +173,30 @@ def test_cuts_do_not_depend_on_what_stands_before(prose):
     assert one[1:] == two[1:]
 
 
+def common_runs(one, two):
+    return set(zip(*[x.tolist() for x in substring_dedup.spans(one)[:2]])) & set(zip(*[x.tolist() for x in substring_dedup.spans(two)[:2]]))
+
+
+def unpunctuated(prose, seed, words):
+    return " ".join(re.sub("[^a-z ]", " ", prose(seed, words + 20).lower()).split()[:words])
+
+
+def test_unpunctuated_passages_at_different_offsets(prose):
+    """Of 100 shared words a run is found whatever stands before them, and the words between the edges go."""
+    for n in range(200):
+        passage = unpunctuated(prose, 3000 + n, 100)
+        one, two = (f"{unpunctuated(prose, n * 2 + k, (n * 7 + k * 5) % 53)} {passage} {unpunctuated(prose, 900 + n * 2 + k, 30)}".strip() for k in range(2))
+        assert common_runs(one, two)
+
+
+def test_periodic_passages_at_different_offsets():
+    """A short phrase again and again has equal cuts, too."""
+    for period in range(1, 12):
+        words = [f"w{i}" for i in range(period)] * 120
+        for offset in range(1, 12):
+            assert common_runs(" ".join(words[:100]), " ".join([*["before"] * offset, *words[offset : offset + 100]]))
+
+
 @pytest.mark.parametrize("threshold", [2, 10**9])
 def test_spans(spark, prose, monkeypatch, threshold):
     monkeypatch.setattr(first_seen, "FREQUENT_ROWS", threshold)
