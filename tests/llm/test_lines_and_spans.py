@@ -189,6 +189,20 @@ def test_unpunctuated_passages_at_different_offsets(prose):
         assert common_runs(one, two)
 
 
+@pytest.mark.parametrize("lengths", [(20, 1, 3, 8, 24), (17, 18, 19, 20), tuple(range(1, 25)), tuple(range(15, 40)), (1000,)])
+def test_passages_of_55_words_hold_a_run(lengths):
+    """Whatever the lengths of their clauses, where in a clause they begin and end, and what stands around them."""
+    for n in range(300):
+        rng, words = random.Random(n), []
+        while len(words) < 80:
+            words += [f"w{rng.randrange(400)}" for _ in range(rng.choice(lengths))]
+            words[-1] += rng.choice(",.;:")
+        at = rng.randrange(25)
+        around = [[" ".join(f"{c}{rng.randrange(400)}" for _ in range(rng.randrange(30))) for c in "ab"] for _ in range(2)]
+        one, two = (" ".join([before, *words[at : at + 55], after]) for before, after in around)
+        assert common_runs(one, two)
+
+
 def test_periodic_passages_at_different_offsets():
     """A short phrase again and again has equal cuts, too."""
     for period in range(1, 12):
