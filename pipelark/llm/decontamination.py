@@ -2,8 +2,8 @@
 
 A document and a test item that share a run of words are tiled: the longest
 matching run of words not yet in a tile is marked in both, again and again,
-until no run of ``MATCH`` words is left.  Runs are found with rolling
-(Karp-Rabin) hashes.  The share of the item that tiles cover tells how much of it
+until no run of ``MATCH`` words is left; an item of fewer words is a run as a whole.
+Runs are found with rolling (Karp-Rabin) hashes.  The share of the item that tiles cover tells how much of it
 the document holds, in whatever order its parts stand there.
 
 Items are taken in blocks of bounded size, each of which is sent to all workers
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .batches import extended, free
 from .session import ready
 
-#: Words of a seed and of the shortest tile, and the share of an item that makes a leak.
+#: Words of a seed and of the shortest tile (all of a shorter item), and the share of an item that makes a leak.
 MATCH, COVERAGE = 5, 0.5
 
 #: Characters of the items of a block.
@@ -95,45 +95,48 @@ class ItemBlock:
     def __init__(self, items: list[tuple[object, str | None]]):
         self.numbers: dict[str, int] = {}
         self.items = []
-        windows = defaultdict(list)
+        windows = defaultdict(lambda: defaultdict(list))
         for key, text in items:
             row = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)], dtype=np.uint64)
-            for at, h in enumerate(rolled(row).tolist()):
-                windows[h].append((len(self.items), at))
+            size = min(MATCH, len(row))
+            for at, h in enumerate(rolled(row, size).tolist() if size else []):
+                windows[size][h].append((len(self.items), at))
             self.items.append((key, row))
-        self.windows = dict(windows)
-        self.hashes = np.sort(np.fromiter(self.windows, np.uint64, len(self.windows)))
+        #: Words of a seed, the items' windows of that size by their hash, and the sorted hashes.
+        self.windows = [(size, dict(found), np.sort(np.fromiter(found, np.uint64, len(found)))) for size, found in sorted(windows.items(), reverse=True)]
 
     def leaks(self, text: str | None, coverage: float) -> list[dict]:
         """The items of which the text holds ``coverage`` or more, with their tiles; best first."""
-        if not len(self.hashes):
+        if not self.windows:
             return []
         known = self.numbers.get
         row = np.array([known(w, 0) for w in words(text)], dtype=np.uint64)
-        if len(row) < MATCH:
-            return []
         # Most words of most documents are in no item: look only at windows without such a word.
         outside = np.concatenate([[0], np.cumsum(row == 0)])
-        places = np.flatnonzero(outside[MATCH:] == outside[:-MATCH])
-        if not len(places):
-            return []
-        hashes = rolled(row)[places]
-        at = np.searchsorted(self.hashes, hashes).clip(max=len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes
         seeds = defaultdict(list)
-        for j, h in zip(places[hit].tolist(), hashes[hit].tolist()):
-            for item, i in self.windows[h]:
-                if (self.items[item][1][i : i + MATCH] == row[j : j + MATCH]).all():
-                    seeds[item].append((i, j))
+        for size, windows, known_hashes in self.windows:
+            if len(row) < size:
+                continue
+            places = np.flatnonzero(outside[size:] == outside[:-size])
+            if not len(places):
+                continue
+            hashes = rolled(row, size)[places]
+            at = np.searchsorted(known_hashes, hashes).clip(max=len(known_hashes) - 1)
+            hit = known_hashes[at] == hashes
+            for j, h in zip(places[hit].tolist(), hashes[hit].tolist()):
+                for item, i in windows[h]:
+                    if (self.items[item][1][i : i + size] == row[j : j + size]).all():
+                        seeds[item].append((i, j))
         found = []
         for item, pairs in seeds.items():
             key, numbers = self.items[item]
-            reach = np.zeros(len(numbers) + MATCH, bool)
+            least = min(MATCH, len(numbers))
+            reach = np.zeros(len(numbers) + least, bool)
             for i in {i for i, _ in pairs}:
-                reach[i : i + MATCH] = True
+                reach[i : i + least] = True
             if reach.sum() < coverage * len(numbers):
                 continue  # no tiling can cover more than all seeds do
-            cover = tiles(numbers, row, pairs)
+            cover = tiles(numbers, row, pairs, least)
             share = sum(t[2] for t in cover) / len(numbers)
             if share >= coverage:
                 found.append({"item_id": key, "coverage": share, "tiles": [dict(zip(("item_word", "doc_word", "n_words"), t)) for t in cover]})
@@ -157,8 +160,9 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> list:
 def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, out: str = "leaks", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``df`` with an array of the items that each text holds: ``item_id``, ``coverage`` and ``tiles``.
 
-    Null and empty texts and items match nothing, nor do items of fewer than
-    ``MATCH`` words.  Repeated items are listed as often as they are repeated.
+    Null and empty texts and items match nothing.  Items of fewer than ``MATCH``
+    words are held by texts that have all their words in a row.  Repeated items
+    are listed as often as they are repeated.
     Rows stay as they are, repeated ones too; a column named like the result is
     replaced; an empty table on either side gives no leaks.
     """

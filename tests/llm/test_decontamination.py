@@ -67,6 +67,17 @@ def test_leaks_against_a_plain_search(prose):
         assert found == expected
 
 
+def test_short_items():
+    """Items of fewer words than a seed are found as a whole, and not in part."""
+    tests = ItemBlock([(0, "Paris, France"), (1, "forty-two"), (2, "one two three four"), (3, "yes"), (4, "one two three four five six")])
+    texts = {"Forty two": [1], "In PARIS; France!": [0], "France, Paris": [], "one two three": [], "so one two three four it is": [2], "yes yes": [3], "one two three four five six": [2, 4], "": []}
+    for text, items in texts.items():
+        found = tests.leaks(text, 0.5)
+        assert sorted(x["item_id"] for x in found) == items
+        for x in found:
+            assert x["coverage"] == 1 and len(x["tiles"]) == 1
+
+
 @pytest.fixture(scope="module")
 def benchmark(spark, prose):
     return spark.createDataFrame([(k, prose(700 + k, 40), "x") for k in range(30)] + [(30, None, None), (31, "", ""), (None, prose(750, 40), None)], "item_id long, text string, leaks string")
