@@ -3,9 +3,10 @@
 Keys are two hashes (128 bits together), rows are ordered by document and
 position.  The keys of most rows are found first with a frequent-items sketch,
 whose size is fixed; their first rows are found by aggregation, which combines
-before it shuffles, and are few enough to be broadcast.  All other keys are
-range-partitioned by hash and sorted by document and position within, and a
-window streams over each key with the first row at hand.
+before it shuffles, and are few enough to be broadcast.  Every row looks its key
+up there; those that find nothing are range-partitioned by hash and sorted by
+document and position within, and a window streams over each key with the first
+row at hand.
 """
 
 from __future__ import annotations
@@ -44,20 +45,22 @@ def later(rows: DataFrame, whole_document: bool) -> DataFrame:
     first document count as first.  ``rows`` is read several times and should be
     settled.
     """
-    many = F.broadcast(frequent(rows))
-    place = ["doc", "at"]
-    in_order = [F.col("doc").asc_nulls_last(), F.col("at").asc()]
-    so_far = Window.partitionBy("h1", "h2").orderBy(*in_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rare = rows.join(many, "h1", "left_anti")
+    many = frequent(rows).withColumnRenamed("h1", "frequent_h1")
+    place = [F.col("doc").isNull().alias("none"), "doc", "at"]
+    # Look-ups are left outer joins with unique keys: they give each row back once.
+    some = rows.join(F.broadcast(many), rows["h1"] == many["frequent_h1"], "left").filter("h1 <=> frequent_h1")
+    firsts = some.groupBy("h1", "h2").agg(F.min(F.struct(*place)).alias("first"))
+    firsts = firsts.select("h1", "h2", F.col("first.none").alias("none1"), F.col("first.doc").alias("doc1"), F.col("first.at").alias("at1"))
+    # As few as ``frequent`` found, so that they are broadcast.
+    known = rows.join(F.broadcast(firsts), ["h1", "h2"], "left")
+    rare = known.filter("at1 is null").select(*rows.columns)
     # The number of partitions is left to the session and to adaptive execution.
     rare = rare.repartitionByRange("h1", "h2")
-    streamed = rare.select("*", F.first("doc").over(so_far).alias("doc1"), F.first("at").over(so_far).alias("at1"))
-    some = rows.join(many, "h1", "left_semi")
-    firsts = some.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), *place)).alias("first"))
-    firsts = firsts.select("h1", "h2", F.col("first.doc").alias("doc1"), F.col("first.at").alias("at1"))
-    # As few as ``frequent`` found, so that they are broadcast.
-    joined = some.join(F.broadcast(firsts), ["h1", "h2"]).select(*streamed.columns)
-    same = F.col("doc").eqNullSafe(F.col("doc1"))
+    in_order = [F.col("doc").asc_nulls_last(), F.col("at").asc()]
+    so_far = Window.partitionBy("h1", "h2").orderBy(*in_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    streamed = rare.select("*", F.first(F.col("doc").isNull()).over(so_far).alias("none1"), F.first("doc").over(so_far).alias("doc1"), F.first("at").over(so_far).alias("at1"))
+    # Behind the first row; null for a row that found none.
+    behind = (F.col("doc").isNull() & ~F.col("none1")) | (F.col("doc") > F.col("doc1"))
     if not whole_document:
-        same &= F.col("at") == F.col("at1")
-    return streamed.unionByName(joined).filter(~same).drop("doc1", "at1")
+        behind |= F.col("doc").eqNullSafe(F.col("doc1")) & (F.col("at") > F.col("at1"))
+    return streamed.unionByName(known.select(*streamed.columns)).filter(behind).select(*rows.columns)

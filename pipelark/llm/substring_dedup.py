@@ -10,7 +10,8 @@ Sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends.  Cl
 (``,``, ``;``, ``:``) count as sentences of their own, and long ones are cut at places
 that their words choose: otherwise a long sentence, or one that begins before a
 shared passage, would hide it.  White space and letter case don't count in
-comparisons.
+comparisons.  Scripts that are written without spaces have a word for each
+character, and their signs end sentences and clauses without white space behind.
 
 Of every ``WINDOW`` places in a clause (not next to its ends) the one whose two
 last words have the least hash is a cut.  So the cuts in a passage, but for those near its
@@ -42,6 +43,12 @@ WINDOW, SEED = 16, 5
 _ENDS = re.compile(r"(?<=[.!?,;:])\s+|\s*\n\s*")
 _WORDS = re.compile(r"\S+")
 
+#: Thai, Lao, Burmese, Khmer, kana and Han; with them other ends and words hold.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_is_unspaced = re.compile(f"[{_UNSPACED}]").search
+_UNSPACED_ENDS = re.compile(_ENDS.pattern + r"|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])\s*")
+_UNSPACED_WORDS = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
+
 
 def _cuts(words: list[str]) -> list[int]:
     """Numbers of words before each cut of a clause."""
@@ -64,11 +71,13 @@ def _cuts(words: list[str]) -> list[int]:
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, compared text, words) of each sentence; the white space between is left out."""
     found = []
+    unspaced = _is_unspaced(text) is not None
+    ends, of_words = (_UNSPACED_ENDS, _UNSPACED_WORDS) if unspaced else (_ENDS, _WORDS)
 
     def add(start: int, end: int) -> None:
-        words = text[start:end].lower().split()
+        words = [m[0].lower() for m in of_words.finditer(text, start, end)] if unspaced else text[start:end].lower().split()
         if len(words) - 3 >= WINDOW or len(words) > LONG:
-            places = [m.span() for m in _WORDS.finditer(text, start, end)]
+            places = [m.span() for m in of_words.finditer(text, start, end)]
             cuts = _cuts(words)
             for a, b in zip([0, *cuts], [*cuts, len(words)]):
                 found.append((places[a][0], places[b - 1][1], " ".join(words[a:b]), b - a))
@@ -76,71 +85,75 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
             found.append((start, end, " ".join(words), len(words)))
 
     at = 0
-    for gap in _ENDS.finditer(text):
+    for gap in ends.finditer(text):
         add(at, gap.start())
         at = gap.end()
     add(at, len(text))
     return found
 
 
-def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of each run, and its place: first sentence (upper half) and number of sentences in one number."""
-    found = sentences(text)
-    digests = [xxhash.xxh3_128_digest(s[2]) for s in found]
-    words = [s[3] for s in found]
-    h1, h2, sizes = [], [], []
-    end, held = 0, 0
-    for at in range(len(found)):
-        while end < len(found) and (held < least_words or end - at < least_sentences):
+def run_sizes(words: list[int], least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> list[int]:
+    """How many sentences the shortest run from each sentence on has, up to the last one from which there is a run."""
+    sizes, end, held = [], 0, 0
+    for at in range(len(words)):
+        while end < len(words) and (held < least_words or end - at < least_sentences):
             held += words[end]
             end += 1
         if held < least_words or end - at < least_sentences:
             break
-        both = xxhash.xxh3_128_intdigest(b"".join(digests[at:end]))
-        h1.append(both >> 64)
-        h2.append(both & 0xFFFFFFFFFFFFFFFF)
         sizes.append(end - at)
         held -= words[at]
-    places = np.arange(len(sizes), dtype=np.int64) << 32 | np.array(sizes, np.int64)
-    return np.array(h1, np.uint64).view(np.int64), np.array(h2, np.uint64).view(np.int64), places
+    return sizes
+
+
+def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the run from each sentence on."""
+    found = sentences(text)
+    digests = [xxhash.xxh3_128_digest(s[2]) for s in found]
+    sizes = run_sizes([s[3] for s in found], least_sentences, least_words)
+    both = b"".join(xxhash.xxh3_128_digest(b"".join(digests[at : at + n])) for at, n in enumerate(sizes))
+    halves = np.frombuffer(both, dtype=">i8").reshape(-1, 2).astype(np.int64)
+    return halves[:, 0], halves[:, 1]
 
 
 def _hashed(rows: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """``h1``, ``h2``, ``doc``, ``version`` and ``at`` (the place) of all runs; ``rows`` has doc, version and text."""
+    """``doc``, ``version`` and the hashes of all runs (``all_h1``, ``all_h2``); ``rows`` has doc, version and text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 each = [spans(t.as_py() or "", least_sentences, least_words) for t in part.column(2)]
-                rows_ = pa.array(np.repeat(np.arange(len(each)), [len(x[2]) for x in each]))
-                h1, h2, at = (pa.array(np.concatenate([x[i] for x in each])) for i in range(3))
-                yield pa.RecordBatch.from_arrays([h1, h2, part.column(0).take(rows_), part.column(1).take(rows_), at], names=["h1", "h2", "doc", "version", "at"])
+                ends = pa.array(np.cumsum([0, *(len(x[0]) for x in each)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i] for x in each]))) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc", "version", "all_h1", "all_h2"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(work, f"h1 long, h2 long, doc {kind}, version long, at long")
+    return rows.mapInArrow(work, f"doc {kind}, version long, all_h1 array<bigint>, all_h2 array<bigint>")
 
 
 def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc``, ``version`` and ``spans`` (places) of documents with runs that aren't the first of their kind."""
+    """``doc``, ``version`` and ``spans`` (first sentences) of documents with runs that aren't the first of their kind."""
     ready(df.sparkSession)
     rows = df.select(df[f"`{doc_id}`"].alias("doc"), _version(df[f"`{text}`"]).alias("version"), df[f"`{text}`"].alias("text"))
-    runs = settled(_hashed(rows, least_sentences, least_words))
-    # As many as a document has sentences at most.
-    return first_seen.later(runs, whole_document=False).groupBy("doc", "version").agg(F.collect_list("at").alias("spans"))
+    hashed = settled(_hashed(rows, least_sentences, least_words))
+    runs = hashed.select("doc", "version", "all_h2", F.posexplode("all_h1").alias("at", "h1"))
+    runs = runs.select("h1", F.get("all_h2", F.col("at")).alias("h2"), "doc", "version", "at")
+    # A set, since rows may repeat an id and text: as many as a document has sentences at most.
+    return first_seen.later(runs, whole_document=False).groupBy("doc", "version").agg(F.collect_set("at").alias("spans"))
 
 
 def _version(text):
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def without(text: str, gone: list[int]) -> tuple[str, int, int]:
-    """A text without the sentences of the spans (places), its sentences before and the number removed."""
+def without(text: str, gone: list[int], least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[str, int, int]:
+    """A text without the sentences of the runs that begin at ``gone``, its sentences before and the number removed."""
     found = sentences(text)
+    sizes = run_sizes([s[3] for s in found], least_sentences, least_words)
     removed = np.zeros(len(found) + 1, dtype=np.int64)
-    for place in gone:
-        at, n = place >> 32, place & 0xFFFFFFFF
+    for at in gone:
         removed[at] += 1
-        removed[at + n] -= 1
+        removed[at + sizes[at]] -= 1
     removed = removed.cumsum()[:-1] > 0
     starts = [s[0] for s in found] + [len(text)]
     rest = "".join(text[starts[i] : starts[i + 1]] for i in range(len(found)) if not removed[i])
@@ -170,7 +183,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
                 out = []
                 for t, spans_ in zip(part.column(at), part.column(part.num_columns - 1)):
                     found = spans_.as_py()
-                    out.append(without(t.as_py() or "", found) if found else (t.as_py(), len(sentences(t.as_py() or "")), 0))
+                    out.append(without(t.as_py() or "", found, least_sentences, least_words) if found else (t.as_py(), len(sentences(t.as_py() or "")), 0))
                 columns = [*part.columns[:-1], pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())]
                 columns[at] = pa.array([x[0] for x in out], pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)

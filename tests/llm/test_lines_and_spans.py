@@ -114,6 +114,22 @@ def test_later(spark, monkeypatch, whole, threshold):
     assert sorted(map(repr, (tuple(r) for r in first_seen.later(frame, whole).collect()))) == sorted(map(repr, expected))
 
 
+def test_look_ups_of_a_hot_key_give_each_row_back_once(spark, monkeypatch):
+    """A key in a third of all rows: no join makes more rows than come in, and the result is that of a plain loop."""
+    monkeypatch.setattr(first_seen, "FREQUENT_ROWS", 100)
+    n = 6000
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.xxhash64(F.col("id") % 1500)).alias("h1"), F.lit(1).alias("h2"), F.expr("cast(id div 2 as int)").alias("doc"), F.expr("cast(id % 2 as int)").alias("at")).repartition(4)
+    found = first_seen.later(rows, False)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") + plan.count("Join LeftAnti") == plan.count("Join ") and plan.count("Join LeftOuter") >= 2
+    seen, expected = set(), []
+    for r in sorted(rows.collect(), key=lambda r: (r.doc, r.at)):
+        if r.h1 in seen:
+            expected.append(tuple(r))
+        seen.add(r.h1)
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 def test_frequent_keys_are_bounded(spark):
     rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.xxhash64("id")).alias("h1"))
     assert [r.h1 for r in first_seen.frequent(rows).collect()] == [7]
@@ -166,6 +182,22 @@ def test_sentences():
     assert substring_dedup.sentences("") == substring_dedup.sentences(" \n ") == []
 
 
+def test_sentences_without_spaces():
+    """Each character of such a script is a word; its signs end sentences."""
+    text = "今天天气很好，我们去公园。Then home. そうですか？はい"
+    found = substring_dedup.sentences(text)
+    assert [(text[a:b], n) for a, b, _, n in found] == [("今天天气很好，", 7), ("我们去公园。", 6), ("Then home.", 2), ("そうですか？", 6), ("はい", 2)]
+    rng = random.Random(2)
+    passage = "".join(chr(0x4E00 + rng.randrange(900)) + ("。" if k % 15 == 14 else "") for k in range(90))
+    assert common_runs(passage, "另外" + passage)
+
+
+def test_rows_that_repeat_id_and_text(spark, prose):
+    rows = table(spark, [(1, prose(1, 90))] + [(2, prose(1, 90))] * 40)
+    found = substring_dedup.repeated_spans(rows).collect()
+    assert [r.doc for r in found] == [2] and len(found[0].spans) == len(substring_dedup.spans(prose(1, 90))[0])
+
+
 def test_cuts_do_not_depend_on_what_stands_before(prose):
     long = "some words that go on, and on and on without an end until here, then on again and again; and more of it comes, ever more of them, until at last it ends."
     one = [s[2] for s in substring_dedup.sentences("Another begins with a lot of words that are not shared at all " + long)]
