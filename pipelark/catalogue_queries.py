@@ -7,6 +7,7 @@ they are rounded on both sides.
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import engine
+from .sources import files
 from .sources.catalog import Catalog, Entry, parquet_tables
 from .sources.csv_sink import store
 
@@ -47,6 +49,7 @@ class Case:
     query: str
     sql: str
     rounded: tuple[str, ...] = ()
+    ordered: bool = False
 
 
 def tables(sf_dir: str) -> Catalog:
@@ -63,6 +66,26 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.execute(spark, FLAGSHIP, tables(sf_dir), NOW)
 
 
+# Nulls and NaN: the tables have none, so that some queries get rows of their own.
+
+_PEOPLE = [(1, "ann", "de", 3.5), (2, "bob", None, None), (3, None, "fr", -1.0), (4, "", "de", 0.0), (None, "eve", None, 7.25)]
+_PLACES = [("de", "Germany"), ("fr", "France"), (None, "nowhere")]
+_PEOPLE_SQL = "(VALUES (1, 'ann', 'de', 3.5::DOUBLE), (2, 'bob', NULL, NULL), (3, NULL, 'fr', -1.0), (4, '', 'de', 0.0), (NULL, 'eve', NULL, 7.25)) AS people(id, name, land, score)"
+_PLACES_SQL = "(VALUES ('de', 'Germany'), ('fr', 'France'), (NULL, 'nowhere')) AS places(land, title)"
+_NAN = float("nan")
+_MEASURES = [(1, 1.5, 2.0, True), (2, _NAN, 2.0, False), (3, None, _NAN, True), (4, _NAN, _NAN, None), (5, 0.5, None, True), (6, -3.0, -3.0, False), (7, _NAN, None, True)]
+_MEASURES_SQL = (
+    "(VALUES (1, 1.5::DOUBLE, 2.0::DOUBLE, true), (2, 'nan'::DOUBLE, 2.0, false), (3, NULL, 'nan'::DOUBLE, true), (4, 'nan'::DOUBLE, 'nan'::DOUBLE, NULL), (5, 0.5, NULL, true), (6, -3.0, -3.0, false),"
+    " (7, 'nan'::DOUBLE, NULL, true)) AS measures(id, v, w, fine)"
+)
+
+
+def _ieee(test: str) -> str:
+    """A comparison in SQL that is false where an operand is NaN (DuckDB orders NaN as the largest number)."""
+    return f"coalesce({test} AND NOT isnan(v) AND NOT isnan(w), false)"
+
+
+
 CASES: dict[str, Case] = {
     "full_pipeline": Case(
         FLAGSHIP,
@@ -101,9 +124,6 @@ CASES: dict[str, Case] = {
     "where_between_datetime": Case(
         "orders (*) | where o_orderdate between (datetime(1996-01-01) .. datetime(1996-12-31)) | project o_orderkey", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN '1996-01-01' AND '1996-12-31'"
     ),
-    "where_isnull": Case("events (*) | where isnull(value) | project event_id", "SELECT event_id FROM events WHERE value IS NULL"),
-    "where_isnotnull": Case("events (*) | where isnotnull(props) | project event_id", "SELECT event_id FROM events WHERE props IS NOT NULL"),
-    "where_isempty": Case("part (*) | where not isempty(p_name) | project p_partkey", "SELECT p_partkey FROM part WHERE NOT (p_name IS NULL OR p_name = '')"),
     "where_and_or_precedence": Case(
         'events (*) | where event_type == "click" and value > 50 or event_type == "error" | project event_id', "SELECT event_id FROM events WHERE (event_type = 'click' AND value > 50) OR event_type = 'error'"
     ),
@@ -113,7 +133,7 @@ CASES: dict[str, Case] = {
     "where_not": Case(
         'events (*) | where not (event_type == "click" or value > 20) | project event_id, value', "SELECT event_id, value FROM events WHERE coalesce(NOT (event_type = 'click' OR value > 20), true)"
     ),
-    "where_ago": Case("events (*) | where ts > ago(36h) and ts < ago(1.5d) | project event_id", "SELECT event_id FROM events WHERE ts > '2024-01-19 00:00:00' AND ts < '2024-01-19 00:00:00'"),
+    "where_ago": Case("events (*) | where ts > ago(36h) and ts < ago(1d6h30m) | project event_id", "SELECT event_id FROM events WHERE ts > '2024-01-19 00:00:00' AND ts < '2024-01-19 05:30:00'"),
     "where_ago_window": Case(
         "events (*) | where ts >= ago(1w) and ts <= ago(0s) | summarize n = count() by event_type",
         "SELECT count(*) AS n, event_type FROM events WHERE ts BETWEEN '2024-01-13 12:00:00' AND '2024-01-20 12:00:00' GROUP BY event_type",
@@ -205,7 +225,22 @@ CASES: dict[str, Case] = {
         "customer (*) | sort by c_mktsegment asc, c_acctbal desc, c_custkey | project c_custkey, c_mktsegment | take 40",
         "SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 40",
     ),
-    "take": Case("region (*) | take 100 | project r_regionkey", "SELECT r_regionkey FROM region"),
+    "take": Case("customer (*) | project c_custkey | take 700 | count", 'SELECT least(count(*), 700) AS "count" FROM customer'),
+    "take_first_rows": Case("orders (*) | where o_totalprice > 100000 | project o_orderkey, o_custkey | take 40", "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000 ORDER BY o_orderkey LIMIT 40", ordered=True),
+    "sort_keeps_order": Case("events (*) | sort by event_type desc | take 60 | project event_id, event_type", "SELECT event_id, event_type FROM events ORDER BY event_type DESC, event_id LIMIT 60", ordered=True),
+    "groups_as_first_seen": Case(
+        "orders (*) | summarize n = count(), most = max(o_totalprice) by o_custkey | take 30", "SELECT count(*) AS n, max(o_totalprice) AS most, o_custkey FROM orders GROUP BY o_custkey ORDER BY min(o_orderkey) LIMIT 30", ordered=True
+    ),
+    "groups_after_sort": Case(
+        "events (*) | sort by value desc | summarize n = count() by user_id | take 12",
+        "SELECT count(*) AS n, user_id FROM (SELECT *, row_number() OVER (ORDER BY value DESC, event_id) AS place FROM events) GROUP BY user_id ORDER BY min(place) LIMIT 12",
+        ordered=True,
+    ),
+    "join_keeps_order": Case(
+        "nation (*) | project n_nationkey, n_regionkey | join (customer (*) | project c_custkey, c_nationkey) on $left.n_nationkey == $right.c_nationkey | take 70 | project n_nationkey, c_custkey",
+        "SELECT n_nationkey, c_custkey FROM nation JOIN customer ON n_nationkey = c_nationkey ORDER BY n_nationkey, c_custkey LIMIT 70",
+        ordered=True,
+    ),
     "count": Case('events (*) | where event_type == "error" | count', "SELECT count(*) AS \"count\" FROM events WHERE event_type = 'error'"),
     "count_empty": Case("events (*) | where value < 0 | count", 'SELECT count(*) AS "count" FROM events WHERE value < 0'),
     "count_alias": Case("events (*) | count | where count_ > 5 | project n = count_", "SELECT count(*) AS n FROM events HAVING count(*) > 5"),
@@ -217,21 +252,17 @@ CASES: dict[str, Case] = {
 
 
 def _run(case: Case, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(engine.execute(spark, case.query, tables(sf_dir), NOW), case)
+    return _rounded(engine.execute(spark, case.query, tables(sf_dir), NOW, case.ordered), case)
 
 
 def _rounded(frame: DataFrame, case: Case) -> DataFrame:
     return frame.withColumns({c: F.round(c, 4 if c in ("revenue", "avg_value") else 2) for c in case.rounded}) if case.rounded else frame
 
 
-# Nulls: the tables have none, so that these queries get rows of their own.
-
-_PEOPLE = [(1, "ann", "de", 3.5), (2, "bob", None, None), (3, None, "fr", -1.0), (4, "", "de", 0.0), (None, "eve", None, 7.25)]
-_PLACES = [("de", "Germany"), ("fr", "France"), (None, "nowhere")]
-_PEOPLE_SQL = "(VALUES (1, 'ann', 'de', 3.5::DOUBLE), (2, 'bob', NULL, NULL), (3, NULL, 'fr', -1.0), (4, '', 'de', 0.0), (NULL, 'eve', NULL, 7.25)) AS people(id, name, land, score)"
-_PLACES_SQL = "(VALUES ('de', 'Germany'), ('fr', 'France'), (NULL, 'nowhere')) AS places(land, title)"
-
 NULL_CASES: dict[str, Case] = {
+    "where_isnull": Case("people (*) | where isnull(score) | project id, name", f"SELECT id, name FROM {_PEOPLE_SQL} WHERE score IS NULL"),
+    "where_isnotnull": Case("people (*) | where isnotnull(land) | project id, land", f"SELECT id, land FROM {_PEOPLE_SQL} WHERE land IS NOT NULL"),
+    "where_isempty": Case("people (*) | where not isempty(name) | project id, name", f"SELECT id, name FROM {_PEOPLE_SQL} WHERE NOT (name IS NULL OR name = '')"),
     "null_compare": Case("people (*) | where score != 3.5 | project id, score", f"SELECT id, score FROM {_PEOPLE_SQL} WHERE score <> 3.5"),
     "null_not_compare": Case("people (*) | where not (score > 0) | project id, score", f"SELECT id, score FROM {_PEOPLE_SQL} WHERE coalesce(NOT (score > 0), true)"),
     "null_not_nested": Case(
@@ -252,6 +283,20 @@ NULL_CASES: dict[str, Case] = {
         f"SELECT name, people.land, title FROM {_PEOPLE_SQL} JOIN {_PLACES_SQL} ON people.land IS NOT DISTINCT FROM places.land",
     ),
     "null_sort_last": Case("people (*) | sort by score desc | take 4 | project id, score", f"SELECT id, score FROM {_PEOPLE_SQL} ORDER BY score DESC NULLS LAST LIMIT 4"),
+    "where_true": Case("measures (*) | where fine == true | project id", f"SELECT id FROM {_MEASURES_SQL} WHERE fine"),
+    "where_not_false": Case("measures (*) | where not (fine == false) | project id, fine", f"SELECT id, fine FROM {_MEASURES_SQL} WHERE fine IS DISTINCT FROM false"),
+    "nan_compare": Case("measures (*) | where v > 1.0 | project id", f"SELECT id FROM {_MEASURES_SQL} WHERE v > 1 AND NOT isnan(v)"),
+    "nan_not_compare": Case("measures (*) | where not (v > 1.0) | project id", f"SELECT id FROM {_MEASURES_SQL} WHERE NOT coalesce(v > 1 AND NOT isnan(v), false)"),
+    "nan_equal": Case("measures (*) | where v == v | project id", f"SELECT id FROM {_MEASURES_SQL} WHERE v IS NOT NULL AND NOT isnan(v)"),
+    "nan_unequal": Case("measures (*) | where v != w | project id", f"SELECT id FROM {_MEASURES_SQL} WHERE v IS NOT NULL AND w IS NOT NULL AND (isnan(v) OR isnan(w) OR v <> w)"),
+    "nan_not_unequal": Case("measures (*) | where not (v != w) | project id", f"SELECT id FROM {_MEASURES_SQL} WHERE v IS NULL OR w IS NULL OR {_ieee('v = w')}"),
+    "nan_columns": Case("measures (*) | where v <= w or w < v | project id", f"SELECT id FROM {_MEASURES_SQL} WHERE {_ieee('v <= w')} OR {_ieee('w < v')}"),
+    "nan_columns_more": Case("measures (*) | where not (v >= w) and not (w > v) | project id", f"SELECT id FROM {_MEASURES_SQL} WHERE NOT {_ieee('v >= w')} AND NOT {_ieee('w > v')}"),
+    "nan_in_between": Case("measures (*) | where v !in (1.5) and not (v between (0.0 .. 9.0)) | project id", f"SELECT id FROM {_MEASURES_SQL} WHERE v <> 1.5 AND (isnan(v) OR v NOT BETWEEN 0 AND 9)"),
+    "nan_min_max": Case(
+        "measures (*) | summarize low = min(v), high = max(v), n = count() by fine",
+        f"SELECT coalesce(min(v) FILTER (NOT isnan(v)), min(v)) AS low, coalesce(max(v) FILTER (NOT isnan(v)), max(v)) AS high, count(*) AS n, fine FROM {_MEASURES_SQL} GROUP BY fine",
+    ),
     "null_arithmetic": Case("people (*) | project name, twice = score * 2, one = id + 1", f"SELECT name, score * 2 AS twice, id::BIGINT + 1 AS one FROM {_PEOPLE_SQL}"),
 }
 
@@ -259,7 +304,9 @@ NULL_CASES: dict[str, Case] = {
 def _run_nulls(case: Case, spark: SparkSession, sf_dir: str) -> DataFrame:
     people = spark.createDataFrame(_PEOPLE, "id int, name string, land string, score double")
     places = spark.createDataFrame(_PLACES, "land string, title string")
-    return engine.execute(spark, case.query, Catalog([Entry("people", "dataframe", frame=people), Entry("places", "dataframe", frame=places)]), NOW)
+    measures = spark.createDataFrame(_MEASURES, "id int, v double, w double, fine boolean")
+    frames = {"people": people, "places": places, "measures": measures}
+    return engine.execute(spark, case.query, Catalog([Entry(name, "dataframe", frame=frame) for name, frame in frames.items()]), NOW)
 
 
 # CSV folders: the whole table of events is written as one and read back.
@@ -277,9 +324,16 @@ CSV_CASES: dict[str, Case] = {
 }
 
 
-def _run_csv(case: Case, spark: SparkSession, sf_dir: str) -> DataFrame:
+def _folder(spark: SparkSession, table: str) -> str:
+    """A new folder that all machines see; it goes when Python ends, as results may be asked for until then."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{found}/csv-{uuid4()}/events"
+    top = f"{found}/csv-{uuid4()}"
+    atexit.register(files.remove, spark, top)
+    return f"{top}/{table}"
+
+
+def _run_csv(case: Case, spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "events")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     ids = {c: F.col(c).cast("int") for c in ("event_id", "user_id")}
     # As JSON text the last column is quoted; it is registered as opaque by its schema file.
@@ -287,11 +341,59 @@ def _run_csv(case: Case, spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.execute(spark, case.query, Catalog([Entry("events", "file", dir=folder)]), NOW)
 
 
+# Cells of every type, line ends in quotes, both kinds of line ends, an empty file, and cells that aren't of their type.
+
+_SESSIONS = {
+    "sessions.json": """{"name": "sessions", "orderedColumns": [{"name": "timestamp", "type": "datetime"}, {"name": "id", "type": "int"}, {"name": "note", "type": "string"},
+        {"name": "fine", "type": "bool"}, {"name": "took", "type": "timespan"}, {"name": "rest", "type": "timespan"}, {"name": "score", "type": "real"}, {"name": "props", "type": "dynamic"}]}""",
+    "2024-03-01_00-00-00.000_sessions.csv": (
+        '2024-03-01 00:00:00.000,1,"one\ntwo, three",true,1h30m,15m,0.5,"{""a"": 1}"\n'
+        '2024-03-01 06:00:00.250,2,"say ""so""",F,-15m,1.5s,inf,\r\n'
+        "2024-03-01 07:00:00.000,3,,1,0,250ms,NaN,[]\n"
+    ),
+    "2024-03-02_00-00-00.000_sessions.csv": "",
+    "2024-03-03_00-00-00.000_sessions.csv": (
+        "2024-03-03 00:00:00.000,4,last,no,soon,1h,x,{}\r\n2024-03-03 00:00:01.000,5.5,\"a\r\nb\",False,2h45m30.5s,,1e3\n2024-03-03 00:00:02.000,6,z,T,100us,-1h,-2,{}\n"
+    ),
+}
+_SESSIONS_SQL = (
+    "(VALUES (TIMESTAMP '2024-03-01 00:00:00', 1, 'one' || chr(10) || 'two, three', true, INTERVAL 5400 SECONDS, INTERVAL 900 SECONDS, 0.5::DOUBLE, '{\"a\": 1}'),"
+    " ('2024-03-01 06:00:00.25', 2, 'say \"so\"', false, INTERVAL (-900) SECONDS, INTERVAL 1500 MILLISECONDS, 'inf', NULL), ('2024-03-01 07:00:00', 3, NULL, true, INTERVAL 0 SECONDS, INTERVAL 250 MILLISECONDS, 'nan', '[]'),"
+    " ('2024-03-03 00:00:00', 4, 'last', NULL, NULL, INTERVAL 3600 SECONDS, NULL, '{}'), ('2024-03-03 00:00:01', NULL, 'a' || chr(13) || chr(10) || 'b', false, INTERVAL 9930500 MILLISECONDS, NULL, 1000, NULL),"
+    " ('2024-03-03 00:00:02', 6, 'z', true, INTERVAL 100 MICROSECONDS, INTERVAL (-3600) SECONDS, -2, '{}')) AS sessions(ts, id, note, fine, took, rest, score, props)"
+)
+
+CELL_CASES: dict[str, Case] = {
+    "csv_quoted_line_ends": Case("sessions (*) | project ts = timestamp, note", f"SELECT ts, note FROM {_SESSIONS_SQL}"),
+    "csv_bool_cells": Case("sessions (*) | project id, fine, note", f"SELECT id, fine, note FROM {_SESSIONS_SQL}"),
+    "csv_where_bool": Case("sessions (*) | where fine == false or isnull(fine) | project ts = timestamp, fine", f"SELECT ts, fine FROM {_SESSIONS_SQL} WHERE fine IS DISTINCT FROM true"),
+    "csv_number_cells": Case("sessions (*) | where not (score == 0.5) and score != 7 | project id, inverse = 1 / (score + 2.5)", f"SELECT id, 1 / (score + 2.5) AS inverse FROM {_SESSIONS_SQL} WHERE score <> 0.5"),
+    "csv_timespan_cells": Case("sessions (*) | project id, until = timestamp + took", f"SELECT id, ts + took AS until FROM {_SESSIONS_SQL}"),
+    "csv_timespan_and_timespan": Case(
+        "sessions (*) | project id, longer = timestamp + (took + rest), shorter = timestamp - (took - rest)", f"SELECT id, ts + took + rest AS longer, ts - took + rest AS shorter FROM {_SESSIONS_SQL}"
+    ),
+    "csv_timespan_and_number": Case("sessions (*) | project id, half = timestamp + took / 2, less = timestamp - rest * 3", f"SELECT id, ts + took / 2 AS half, ts - rest * 3 AS less FROM {_SESSIONS_SQL}"),
+    "csv_where_timespan": Case("sessions (*) | where took > rest | project id, ts = timestamp", f"SELECT id, ts FROM {_SESSIONS_SQL} WHERE took > rest"),
+    "csv_dynamic_cells": Case("sessions (*) | summarize n = count() by props", f"SELECT count(*) AS n, props FROM {_SESSIONS_SQL} GROUP BY props"),
+    "csv_empty_file": Case("sessions (datetime(2024-03-02) .. datetime(2024-03-02 23:00)) | summarize n = count()", "SELECT 1::BIGINT AS n WHERE false"),
+    "csv_empty_window": Case("sessions (datetime(2023-01-01) .. datetime(2023-02-01)) | project id, note", f"SELECT id, note FROM {_SESSIONS_SQL} WHERE false"),
+    "csv_first_rows": Case("sessions (*) | take 4 | project ts = timestamp, id", f"SELECT ts, id FROM {_SESSIONS_SQL} ORDER BY ts LIMIT 4", ordered=True),
+}
+
+
+def _run_cells(case: Case, spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "sessions")
+    for name, text in _SESSIONS.items():
+        files.write(spark, f"{folder}/{name}", text)
+    return engine.execute(spark, case.query, Catalog([Entry("sessions", "file", dir=folder)]), NOW, case.ordered)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     runs = {name: partial(_run, case) for name, case in CASES.items()}
     runs |= {name: partial(_run_nulls, case) for name, case in NULL_CASES.items()}
+    runs |= {name: partial(_run_cells, case) for name, case in CELL_CASES.items()}
     return runs | {name: partial(_run_csv, case) for name, case in CSV_CASES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: case.sql for name, case in (CASES | NULL_CASES | CSV_CASES).items()}
+    return {name: case.sql for name, case in (CASES | NULL_CASES | CELL_CASES | CSV_CASES).items()}

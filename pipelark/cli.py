@@ -106,7 +106,7 @@ def _run(args, out, session: Callable[[], SparkSession]) -> None:
     catalog = Catalog.read(catalog_path(args.catalog))
     for table in sorted(language.parse(text).tables()):
         catalog[table]  # before Spark is started
-    result = engine.prepare(session(), text, catalog)
+    result = engine.prepare(session(), text, catalog, ordered=args.ordered)
     if args.out:
         with open(args.out, "w", newline="") as f:
             output.write(result, args.format or "csv", f)
@@ -150,6 +150,7 @@ def arguments() -> argparse.ArgumentParser:
     run.add_argument("--file", help="read the query from this file")
     run.add_argument("--format", choices=sorted(output.FORMATS), help="table on a terminal and csv elsewhere if not given")
     run.add_argument("--out", help="write to this file")
+    run.add_argument("--ordered", action="store_true", help="keep the order of files and lines")
 
     samples = nouns.add_parser("sample", help="make sample tables")
     verbs = samples.add_subparsers(dest="verb", title="commands", parser_class=_Parser)

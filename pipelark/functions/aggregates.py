@@ -19,7 +19,10 @@ def name(aggregate: S.Aggregate) -> str:
 
 
 def lower(aggregate: S.Aggregate, scope: Scope) -> tuple[Column, Kind]:
-    """Nulls aren't counted in; a sum of nothing is 0, and avg, min and max of nothing are null."""
+    """Nulls aren't counted in; a sum of nothing is 0, and avg, min and max of nothing are null.
+
+    min and max pass over NaN, unless there is nothing else.
+    """
     if aggregate.function == "count":
         return F.count("*"), Kind.LONG
     found = scope.find(aggregate.field)
@@ -36,5 +39,7 @@ def lower(aggregate: S.Aggregate, scope: Scope) -> tuple[Column, Kind]:
         case "min":
             return F.min(column), kind
         case "max":
+            if kind is Kind.REAL:  # Spark has NaN as the largest number
+                return F.coalesce(F.max(F.when(~F.isnan(column), column)), F.max(column)), kind
             return F.max(column), kind
     return F.count_distinct(column), Kind.LONG

@@ -5,6 +5,11 @@ Spark both are null.  Conditions without ``not`` may stay as Spark has them: a
 filter drops null as it drops false, and ``and`` and ``or`` can't turn null into
 true.  ``not`` is moved inward to the comparisons, where the null case is added.
 All of that can be pushed down to scans, which a coalesce() could not.
+
+Spark takes NaN for equal to itself and larger than all numbers.  Here it is as
+IEEE 754 has it: a comparison with NaN is false, but for ``!=``, which is true.  The
+test for NaN stands beside the comparison, which is still pushed down; a negation
+isn't then, as the smallest and largest number of a block don't tell of its NaNs.
 """
 
 from __future__ import annotations
@@ -52,7 +57,9 @@ def _lower(node: S.Predicate, scalars: Scalars, wanted: bool) -> Column:
             (a, left_kind), (b, right_kind) = scalars.lower(left), scalars.lower(right)
             check_comparison(sign, left_kind, right_kind)
             nullable = [c for c, n in ((a, left), (b, right)) if not isinstance(n, S.Literal | S.Ago)]
-            return _settle(_SIGNS[sign](a, b), nullable, wanted)
+            # Literals are numbers, and whole numbers have no NaN.
+            a_real, b_real = (k is Kind.REAL and not isinstance(n, S.Literal) for k, n in ((left_kind, left), (right_kind, right)))
+            return _settle(_ieee(sign, a, b, a_real, b_real), nullable, wanted)
         case S.Among(field, values, negated):
             a, kind = scalars.lower(field)
             lowered = [scalars.lower(v) for v in values]
@@ -68,6 +75,21 @@ def _lower(node: S.Predicate, scalars: Scalars, wanted: bool) -> Column:
     raise TypeError(node)
 
 
+def _ieee(sign: str, a: Column, b: Column, a_real: bool, b_real: bool) -> Column:
+    """A comparison in which NaN is neither equal to, less nor more than anything."""
+    test = _SIGNS[sign](a, b)
+    # What Spark holds true of NaN: that it equals itself, and that it is the largest number.
+    if sign in ("<", "<=") and b_real:
+        return test & ~F.isnan(b)
+    if sign in (">", ">=") and a_real:
+        return test & ~F.isnan(a)
+    if sign == "==" and a_real and b_real:
+        return test & ~F.isnan(a)
+    if sign == "!=" and a_real and b_real:
+        return test | (F.isnan(a) & F.isnan(b))
+    return test
+
+
 def _settle(test: Column, nullable: list[Column], wanted: bool) -> Column:
     """A test or its negation, which also holds if an operand is null."""
     return test if wanted else reduce(or_, [c.isNull() for c in nullable], ~test)

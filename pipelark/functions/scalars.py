@@ -62,7 +62,7 @@ class Scalars:
             case S.Minus(inner):
                 column, kind = self.lower(inner)
                 if kind not in (Kind.INT, Kind.LONG, Kind.REAL, Kind.TIMESPAN):
-                    raise QueryTypeError(f"unary minus not applicable to {kind.value}")
+                    raise QueryTypeError(f"{kind.value} values have no negative")
                 return (-column.cast("long"), Kind.LONG) if kind is Kind.INT else (-column, kind)
             case S.Arithmetic(sign, left, right):
                 a, left_kind = self.lower(left)

@@ -25,12 +25,25 @@ from ..plans.scope import ColumnInfo, Keys, Scope
 from ..plans.types import NUMBERS, WHOLE, Kind
 
 
+#: What a limit of Spark can be.
+MOST_ROWS = 2**31 - 1
+
+
 @dataclass(frozen=True)
 class Relation:
-    """Rows, and the columns that a query sees in them."""
+    """Rows, and the columns that a query sees in them.
+
+    ``order`` has the columns that tell the rows' order, the first one first, or is
+    None where rows have no order.
+    """
 
     frame: DataFrame
     scope: Scope
+    order: tuple[str, ...] | None = None
+
+    def columns(self) -> list[str]:
+        """The columns that tell the order."""
+        return list(self.order or ())
 
 
 @dataclass(frozen=True)
@@ -43,7 +56,7 @@ class Context:
 
 
 def where(stage: S.Where, given: Relation, context: Context) -> Relation:
-    return Relation(given.frame.filter(condition(stage.predicate, Scalars(given.scope, context.now))), given.scope)
+    return Relation(given.frame.filter(condition(stage.predicate, Scalars(given.scope, context.now))), given.scope, given.order)
 
 
 def project(stage: S.Project, given: Relation, context: Context) -> Relation:
@@ -51,7 +64,7 @@ def project(stage: S.Project, given: Relation, context: Context) -> Relation:
     scalars, selected, columns = Scalars(given.scope, context.now), [], []
     for item in stage.items:
         if item.alias and not has_field(item.value):
-            raise QueryTypeError(f'project: "{item.alias}": right-hand side contains no field reference')
+            raise QueryTypeError(f'project: "{item.alias}": a new column must be computed from one that is there')
         value, kind = scalars.lower(item.value)
         key, origin, name = context.keys.new(), None, item.alias
         if isinstance(item.value, S.Field):
@@ -59,13 +72,14 @@ def project(stage: S.Project, given: Relation, context: Context) -> Relation:
             origin, name = source.origin, name or source.name
         selected.append(value.alias(key))
         columns.append(ColumnInfo(name, origin, kind, key))
-    return Relation(given.frame.select(*selected), Scope(tuple(columns)))
+    return Relation(given.frame.select(*selected, *given.columns()), Scope(tuple(columns)), given.order)
 
 
 def summarize(stage: S.Summarize, given: Relation, context: Context) -> Relation:
     """Aggregates first, then the columns grouped by; null is a group of its own.
 
-    Without groups there is one row, or none if nothing comes in.
+    Without groups there is one row, or none if nothing comes in.  Groups are in the
+    order of their first rows.
     """
     made, columns = [], []
     for aggregate in stage.aggregates:
@@ -74,19 +88,22 @@ def summarize(stage: S.Summarize, given: Relation, context: Context) -> Relation
         made.append(value.alias(key))
         columns.append(ColumnInfo(aggregates.name(aggregate), None, kind, key))
     groups = [given.scope.find(field) for field in stage.by]
+    order = None if given.order is None else (context.keys.new(),)
+    if order:
+        made.append(F.min(F.struct(*given.order)).alias(order[0]))
     if groups:
         frame = given.frame.groupBy(*dict.fromkeys(g.key for g in groups)).agg(*made)
     else:
         rows = context.keys.new()
         frame = given.frame.agg(F.count("*").alias(rows), *made).filter(F.col(rows) > 0)
     again = [context.keys.new() for _ in groups]
-    frame = frame.select(*[c.key for c in columns], *[F.col(g.key).alias(k) for g, k in zip(groups, again)])
+    frame = frame.select(*[c.key for c in columns], *[F.col(g.key).alias(k) for g, k in zip(groups, again)], *(order or ()))
     columns += [ColumnInfo(g.name, g.origin, g.kind, k) for g, k in zip(groups, again)]
-    return Relation(frame, Scope(tuple(columns)))
+    return Relation(frame, Scope(tuple(columns)), order)
 
 
 def join(stage: S.Join, left: Relation, context: Context) -> Relation:
-    """Inner equi-join: left columns, then right ones; null keys equal each other."""
+    """Inner equi-join: left columns, then right ones; null keys equal each other.  Rows are in the order of the left, then the right ones."""
     right = context.compile(stage.query)
     tests, twins = [], set()
     for key in stage.keys:
@@ -100,20 +117,30 @@ def join(stage: S.Join, left: Relation, context: Context) -> Relation:
         tests.append(one.eqNullSafe(two))
         if a.name == b.name:
             twins.add(b.key)
-    return Relation(left.frame.join(right.frame, reduce(and_, tests), "inner"), left.scope.joined(right.scope, twins))
+    order = None if left.order is None else (*left.order, *right.columns())
+    return Relation(left.frame.join(right.frame, reduce(and_, tests), "inner"), left.scope.joined(right.scope, twins), order)
 
 
 def sort(stage: S.Sort, given: Relation, context: Context) -> Relation:
-    """By columns, nulls last in either direction; text by its bytes."""
+    """By columns, nulls last in either direction; text by its bytes.  Where rows have an order, equal ones keep it."""
     orders = []
     for order in stage.orders:
         column = F.col(given.scope.find(order.field).key)
         orders.append(column.desc_nulls_last() if order.descending else column.asc_nulls_last())
-    return Relation(given.frame.orderBy(*orders), given.scope)
+    if given.order is None:
+        return Relation(given.frame.orderBy(*orders), given.scope)
+    # Numbers rise from partition to partition, which a sort leaves in order.
+    place = context.keys.new()
+    ranked = given.frame.orderBy(*orders, *given.order).drop(*given.order).withColumn(place, F.monotonically_increasing_id())
+    return Relation(ranked, given.scope, (place,))
 
 
 def take(stage: S.Take, given: Relation, context: Context) -> Relation:
-    return Relation(given.frame.limit(min(stage.rows, 2**31 - 1)), given.scope)
+    """Some rows, or the first ones where rows have an order."""
+    if stage.rows > MOST_ROWS:
+        raise QueryTypeError(f"take: at most {MOST_ROWS} rows are possible")
+    frame = given.frame.orderBy(*given.order) if given.order else given.frame
+    return Relation(frame.limit(stage.rows), given.scope, given.order)
 
 
 def count(stage: S.Count, given: Relation, context: Context) -> Relation:

@@ -14,7 +14,8 @@ from . import syntax as S
 from .scope import ColumnInfo, Keys, Scope
 from .types import Kind
 
-#: Rows of a table from one time to another, in columns called 0, 1, ..., and the names and types of these.
+#: Rows of a table from one time to another, in columns called 0, 1, ..., and the names and types of these.  Further
+#: columns tell the order of the rows, if it is wanted.
 Loader = Callable[[str, datetime | None, datetime | None], tuple[DataFrame, list[tuple[str, Kind]]]]
 
 
@@ -28,14 +29,16 @@ def bounds(window, now: datetime) -> tuple[datetime | None, datetime | None]:
     return None, None
 
 
-def compile_query(query: S.Query, load: Loader, now: datetime) -> Relation:
-    """Sources, stages and sub-queries of a query; all of them share ``now``."""
+def compile_query(query: S.Query, load: Loader, now: datetime, ordered: bool = False) -> Relation:
+    """Sources, stages and sub-queries of a query; all of them share ``now``.  Rows have an order if ``ordered``."""
     keys = Keys()
 
     def compiled(part: S.Query) -> Relation:
         frame, columns = load(part.source.table, *bounds(part.source.window, now))
         found = [ColumnInfo(name, part.source.table, kind, keys.new()) for name, kind in columns]
-        relation = Relation(frame.select(*[F.col(f"`{i}`").alias(c.key) for i, c in enumerate(found)]), Scope(tuple(found)))
+        places = [(name, keys.new()) for name in frame.columns[len(found) :]]
+        selected = [F.col(f"`{i}`").alias(c.key) for i, c in enumerate(found)] + [F.col(f"`{name}`").alias(key) for name, key in places]
+        relation = Relation(frame.select(*selected), Scope(tuple(found)), tuple(key for _, key in places) if ordered else None)
         for stage in part.stages:
             relation = apply(stage, relation, context)
         return relation
@@ -47,4 +50,5 @@ def compile_query(query: S.Query, load: Loader, now: datetime) -> Relation:
 def named(relation: Relation) -> DataFrame:
     """The rows with the names that the query gives its columns; names may repeat."""
     columns = relation.scope.columns
-    return relation.frame.select(*[c.key for c in columns]).toDF(*[c.name for c in columns])
+    frame = relation.frame.orderBy(*relation.order) if relation.order else relation.frame
+    return frame.select(*[c.key for c in columns]).toDF(*[c.name for c in columns])

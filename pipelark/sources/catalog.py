@@ -68,17 +68,21 @@ class Entry:
     def folder(self) -> str:
         """The folder of CSV files, as a path that Hadoop knows."""
         if self.mode == "blob":
-            return f"wasbs://{self.container}@{self.account}.blob.core.windows.net"
+            return f"abfss://{self.container}@{self.account}.dfs.core.windows.net"
         return self.dir.rstrip("/")
 
-    def load(self, spark: SparkSession, start: datetime | None, end: datetime | None) -> tuple[DataFrame, list[tuple[str, Kind]]]:
-        """Rows of a time window in columns called 0, 1, ..., and the names and types of these."""
+    def load(self, spark: SparkSession, start: datetime | None, end: datetime | None, ordered: bool = False) -> tuple[DataFrame, list[tuple[str, Kind]]]:
+        """Rows of a time window in columns called 0, 1, ..., and the names and types of these.
+
+        With ``ordered`` there are further columns that tell the order of the rows.
+        """
         if self.mode in ("file", "blob"):
             if self.mode == "blob":
                 self.unlock(spark)
-            return csv_folder.load(spark, self.folder(), self.table, start, end, self.multiline, self.check)
+            return csv_folder.load(spark, self.folder(), self.table, start, end, self.multiline, self.check, ordered)
         frame = self.frame if self.mode == "dataframe" else spark.read.parquet(self.path)
-        return frames.load(frame, self.table, self.time_column, frozenset(self.dynamic), start, end)
+        places = frames.places(frame, self.mode == "parquet") if ordered else []
+        return frames.load(frame, self.table, self.time_column, frozenset(self.dynamic), start, end, places)
 
     def unlock(self, spark: SparkSession) -> None:
         """Give Spark the account's key, which is never in a catalog."""
@@ -86,7 +90,7 @@ class Entry:
         key = os.environ.get(variable)
         if not key:
             raise CatalogError(f"table {self.table!r}: set {variable} to the key of storage account {self.account!r}")
-        spark._jsc.hadoopConfiguration().set(f"fs.azure.account.key.{self.account}.blob.core.windows.net", key)
+        spark._jsc.hadoopConfiguration().set(f"fs.azure.account.key.{self.account}.dfs.core.windows.net", key)
 
 
 class Catalog(Mapping[str, Entry]):

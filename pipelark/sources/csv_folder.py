@@ -109,7 +109,7 @@ def typed(raw: DataFrame, columns: list[tuple[str, Kind]]) -> DataFrame:
     """Cells as their types, in columns that are still called 0, 1, ..."""
     # Records end at \n, so that the other half of \r\n stays in the last cell that a record has.
     cells = [F.rtrim(F.col(f"`{i}`"), F.lit("\r")) for i in range(len(columns))]
-    return raw.select(*[cell(c, kind).cast(SPARK[kind]).alias(str(i)) for i, (c, (_, kind)) in enumerate(zip(cells, columns))])
+    return raw.select(*[cell(c, kind).cast(SPARK[kind]).alias(str(i)) for i, (c, (_, kind)) in enumerate(zip(cells, columns))], *raw.columns[len(columns) :])
 
 
 def within(frame: DataFrame, column: str, start: datetime | None, end: datetime | None) -> DataFrame:
@@ -133,13 +133,14 @@ def _check_first_records(spark: SparkSession, folder: str, names: list[str], exp
 
 
 def load(
-    spark: SparkSession, folder: str, table: str, start: datetime | None, end: datetime | None, multiline: bool = True, check: bool = True
+    spark: SparkSession, folder: str, table: str, start: datetime | None, end: datetime | None, multiline: bool = True, check: bool = True, ordered: bool = False
 ) -> tuple[DataFrame, list[tuple[str, Kind]]]:
     """The rows of a time window, in columns called 0, 1, ..., and the declared columns.
 
     With ``check`` the first record of each file that is read must have as many
     fields as there are columns.  Later records may be shorter (the rest is null)
-    or longer (the rest is left out).
+    or longer (the rest is left out).  With ``ordered`` further columns tell the
+    order of files by their names, and that of their lines.
     """
     columns = read_schema(files.content(spark, f"{folder}/{table}.json"))
     if (start, end) != (None, None) and columns[0][1] is not Kind.DATETIME:
@@ -149,6 +150,9 @@ def load(
         _check_first_records(spark, folder, selected, len(columns))
     if selected:
         raw = texts(spark, columns, multiline).csv([f"{folder}/{name}" for name in selected])
+        if ordered:  # a task reads pieces of files one after another, and numbers its rows
+            raw = raw.select("*", F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line"))
     else:
         raw = spark.createDataFrame([], T.StructType([T.StructField(str(i), T.StringType()) for i in range(len(columns))]))
+        raw = raw.withColumn("line", F.lit(0)) if ordered else raw
     return within(typed(raw, columns), "0", start, end), columns

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import QueryTypeError
 from ..plans.types import Kind
+from . import files
 from .frames import fitted
 
 #: Formats that cut times down to the period of a file.
@@ -52,7 +53,7 @@ def store(frame: DataFrame, folder: str, table: str, time_column: str, period: s
     named = frame.groupBy(part.alias("part")).agg(F.date_format(F.min(time), "yyyy-MM-dd_HH-mm-ss.SSS").alias("stamp")).collect()
     _settle(spark, draft, folder, table, {r["part"]: r["stamp"] for r in named})
     columns = [{"name": name, "type": kinds.get(kind, kind.value)} for name, _, kind in found]
-    _write(spark, f"{folder}/{table}.json", json.dumps({"name": table, "orderedColumns": columns}, indent=2))
+    files.write(spark, f"{folder}/{table}.json", json.dumps({"name": table, "orderedColumns": columns}, indent=2))
 
 
 def _settle(spark: SparkSession, draft: str, folder: str, table: str, stamps: dict[str, str]) -> None:
@@ -63,15 +64,8 @@ def _settle(spark: SparkSession, draft: str, folder: str, table: str, stamps: di
         if not status.isDirectory():
             continue
         stamp = stamps[spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(status.getPath().getName().partition("=")[2])]
-        files = [s.getPath() for s in system.listStatus(status.getPath()) if s.getPath().getName().startswith("part-")]
-        if len(files) != 1:
-            raise RuntimeError(f"{len(files)} files for one period")
-        system.rename(files[0], Path(f"{folder}/{stamp}_{table}.csv"))
+        parts = [s.getPath() for s in system.listStatus(status.getPath()) if s.getPath().getName().startswith("part-")]
+        if len(parts) != 1:
+            raise RuntimeError(f"{len(parts)} files for one period")
+        system.rename(parts[0], Path(f"{folder}/{stamp}_{table}.csv"))
     system.delete(Path(draft), True)
-
-
-def _write(spark: SparkSession, path: str, text: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()

@@ -36,6 +36,23 @@ def content(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def write(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with a text, instead of one that is there."""
+    system, place = _place(spark, path)
+    stream = system.create(place, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Take a folder away, unless the session has ended."""
+    if spark.sparkContext._jsc is not None:
+        system, place = _place(spark, path)
+        system.delete(place, True)
+
+
 def first_record(spark: SparkSession, path: str) -> str | None:
     """A CSV file's first record, with line ends that stand in quotes; None if the file is empty."""
     system, place = _place(spark, path)

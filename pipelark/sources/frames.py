@@ -38,12 +38,21 @@ def fitted(column: Column, kind: T.DataType) -> tuple[Column, Kind]:
     return column if kind == SPARK[found] else column.cast(SPARK[found]), found
 
 
-def load(frame: DataFrame, table: str, time_column: str | None, dynamic: frozenset[str], start: datetime | None, end: datetime | None) -> tuple[DataFrame, list[tuple[str, Kind]]]:
-    """The rows of a time window, in columns called 0, 1, ..., and their names and types."""
+def places(frame: DataFrame, of_files: bool) -> list[Column]:
+    """What tells the order of rows: of files their names and the rows' numbers, else the partitions."""
+    if of_files:
+        return [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    return [F.monotonically_increasing_id()]
+
+
+def load(
+    frame: DataFrame, table: str, time_column: str | None, dynamic: frozenset[str], start: datetime | None, end: datetime | None, order: list[Column] = []
+) -> tuple[DataFrame, list[tuple[str, Kind]]]:
+    """The rows of a time window, in columns called 0, 1, ..., and their names and types; ``order`` are further columns."""
     names = frame.columns
     made = [fitted(F.col(f"`{f.name}`"), f.dataType) for f in frame.schema.fields]
     columns = [(n, Kind.DYNAMIC if n in dynamic and kind is Kind.STRING else kind) for n, (_, kind) in zip(names, made)]
-    rows = frame.select(*[column.alias(str(i)) for i, (column, _) in enumerate(made)])
+    rows = frame.select(*[column.alias(str(i)) for i, (column, _) in enumerate(made)], *[column.alias(f"place {i}") for i, column in enumerate(order)])
     if (start, end) != (None, None):
         if time_column not in names or dict(columns)[time_column] is not Kind.DATETIME:
             raise QueryTypeError(f"table {table!r} has no time column; only (*) is possible")

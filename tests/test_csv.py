@@ -233,6 +233,21 @@ def test_store_and_read_back(spark, tmp_path):
 def test_a_blob_table_needs_a_key(spark, monkeypatch):
     monkeypatch.delenv("PIPELARK_KEY_ACC", raising=False)
     entry = Entry("t", "blob", account="acc", container="box")
-    assert entry.folder() == "wasbs://box@acc.blob.core.windows.net"
+    assert entry.folder() == "abfss://box@acc.dfs.core.windows.net"
     with pytest.raises(CatalogError, match="PIPELARK_KEY_ACC"):
         entry.load(spark, None, None)
+
+
+def test_order_of_files_and_lines(spark, tmp_path):
+    """Files by their times, lines as they stand; also where files are read in pieces."""
+    folder = tmp_path / "o"
+    folder.mkdir()
+    (folder / "o.json").write_text('{"name": "o", "orderedColumns": [{"name": "timestamp", "type": "datetime"}, {"name": "n", "type": "int"}]}')
+    for day, rows in ((3, 10), (1, 4000), (2, 300)):
+        (folder / f"2024-01-0{day}_00-00-00.000_o.csv").write_text("".join(f"2024-01-0{day} 00:00:00.000,{n}\n" for n in range(rows)))
+    expected = [n for rows in (4000, 300, 10) for n in range(rows)]
+    for multiline in (True, False):
+        tables = Catalog([Entry("o", "file", dir=str(folder), multiline=multiline)])
+        assert [r.n for r in engine.execute(spark, "o (*) | project n", tables, ordered=True).collect()] == expected
+        assert [r.n for r in engine.execute(spark, "o (*) | project n | take 4100", tables, ordered=True).collect()] == expected[:4100]
+        assert engine.execute(spark, "o (datetime(2020-01-01) .. datetime(2020-01-02)) | summarize k = count() by n", tables, ordered=True).collect() == []
