@@ -52,15 +52,23 @@ _UNSPACED_WORDS = re.compile(rf"[{_UNSPACED}]|[^\s{_UNSPACED}]+")
 
 def _cuts(words: list[str]) -> list[int]:
     """Numbers of words before each cut of a clause."""
-    found = []
-    if len(words) - 3 >= WINDOW:
-        hashes = np.array([xxhash.xxh3_64_intdigest(f"{a} {b}", SEED) for a, b in zip(words[:-3], words[1:-2])], np.uint64)
-        windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-        last = WINDOW - 1 - windows[:, ::-1].argmin(1)  # the last one of equal places
-        places = np.arange(len(windows)) + last
+    hashes = [xxhash.xxh3_64_intdigest(f"{a} {b}", SEED) for a, b in zip(words[:-3], words[1:-2])]
+    found, best = [], -1
+    for end in range(WINDOW - 1, len(hashes)):
+        start = end - WINDOW + 1
+        # The last one of the least hashes from ``start`` to ``end``.
+        if best < start:
+            best = start
+            for i in range(start + 1, end + 1):
+                if hashes[i] <= hashes[best]:
+                    best = i
+        elif hashes[end] <= hashes[best]:
+            best = end
         # Equal neighbours: one word again and again.
-        single = (last > 0) & (hashes[places] == hashes[places - 1])
-        found = (np.unique(places[~single]) + 2).tolist()
+        if best > start and hashes[best] == hashes[best - 1]:
+            continue
+        if not found or found[-1] != best + 2:
+            found.append(best + 2)
     out, before = [], 0
     for cut in [*found, len(words)]:
         out += [*range(before + LONG, cut, LONG), cut]
@@ -106,18 +114,18 @@ def run_sizes(words: list[int], least_sentences: int = LEAST_SENTENCES, least_wo
     return sizes
 
 
-def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the run from each sentence on."""
+def spans(text: str, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, int]:
+    """Two hashes of the run from each sentence on, and the number of sentences."""
     found = sentences(text)
     digests = [xxhash.xxh3_128_digest(s[2]) for s in found]
     sizes = run_sizes([s[3] for s in found], least_sentences, least_words)
     both = b"".join(xxhash.xxh3_128_digest(b"".join(digests[at : at + n])) for at, n in enumerate(sizes))
     halves = np.frombuffer(both, dtype=">i8").reshape(-1, 2).astype(np.int64)
-    return halves[:, 0], halves[:, 1]
+    return halves[:, 0], halves[:, 1], len(found)
 
 
 def _hashed(rows: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """``doc``, ``version`` and the hashes of all runs (``all_h1``, ``all_h2``); ``rows`` has doc, version and text."""
+    """``doc``, ``version``, the number of sentences and the hashes of all runs (``all_h1``, ``all_h2``); ``rows`` has doc, version and text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,21 +133,24 @@ def _hashed(rows: DataFrame, least_sentences: int, least_words: int) -> DataFram
                 each = [spans(t.as_py() or "", least_sentences, least_words) for t in part.column(2)]
                 ends = pa.array(np.cumsum([0, *(len(x[0]) for x in each)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i] for x in each]))) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc", "version", "all_h1", "all_h2"])
+                n = pa.array([x[2] for x in each], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, *lists], names=["doc", "version", "n", "all_h1", "all_h2"])
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(work, f"doc {kind}, version long, all_h1 array<bigint>, all_h2 array<bigint>")
+    return rows.mapInArrow(work, f"doc {kind}, version long, n long, all_h1 array<bigint>, all_h2 array<bigint>")
 
 
 def repeated_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``doc``, ``version`` and ``spans`` (first sentences) of documents with runs that aren't the first of their kind."""
+    """``doc``, ``version``, ``spans`` and ``n`` of every document: where runs begin that aren't the first of their kind, and its number of sentences."""
     ready(df.sparkSession)
     rows = df.select(df[f"`{doc_id}`"].alias("doc"), _version(df[f"`{text}`"]).alias("version"), df[f"`{text}`"].alias("text"))
     hashed = settled(_hashed(rows, least_sentences, least_words))
     runs = hashed.select("doc", "version", "all_h2", F.posexplode("all_h1").alias("at", "h1"))
     runs = runs.select("h1", F.get("all_h2", F.col("at")).alias("h2"), "doc", "version", "at")
     # A set, since rows may repeat an id and text: as many as a document has sentences at most.
-    return first_seen.later(runs, whole_document=False).groupBy("doc", "version").agg(F.collect_set("at").alias("spans"))
+    places = first_seen.later(runs, whole_document=False).select("doc", "version", "at", F.lit(None).cast("long").alias("n"))
+    numbers = hashed.select("doc", "version", F.lit(None).cast("int").alias("at"), "n")
+    return places.unionByName(numbers).groupBy("doc", "version").agg(F.collect_set("at").alias("spans"), F.max("n").alias("n"))
 
 
 def _version(text):
@@ -170,10 +181,10 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """
     gone = repeated_spans(df, doc_id, text, least_sentences, least_words)
     kept = [c for c in df.columns if c.lower() not in ("n_sentences", "n_removed")]
-    d, v, s = (free(kept, x) for x in ("span_doc", "span_version", "spans"))
+    d, v, s, n = (free(kept, x) for x in ("span_doc", "span_version", "spans", "span_sentences"))
     left = df.select(*[df[f"`{c}`"] for c in kept], _version(df[f"`{text}`"]).alias(f"{v}_1"))
-    right = gone.select(F.col("doc").alias(d), F.col("version").alias(f"{v}_2"), F.col("spans").alias(s))
-    both = left.join(right, left[f"`{doc_id}`"].eqNullSafe(right[d]) & (left[f"{v}_1"] == right[f"{v}_2"]), "left").select(*[F.col(f"`{c}`") for c in kept], s)
+    right = gone.select(F.col("doc").alias(d), F.col("version").alias(f"{v}_2"), F.col("spans").alias(s), F.col("n").alias(n))
+    both = left.join(right, left[f"`{doc_id}`"].eqNullSafe(right[d]) & (left[f"{v}_1"] == right[f"{v}_2"]), "left").select(*[F.col(f"`{c}`") for c in kept], s, n)
     at = [c.lower() for c in kept].index(text.lower())
     schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -181,10 +192,9 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
         for batch in batches:
             for part in pieces(batch, kept[at]):
                 out = []
-                for t, spans_ in zip(part.column(at), part.column(part.num_columns - 1)):
-                    found = spans_.as_py()
-                    out.append(without(t.as_py() or "", found, least_sentences, least_words) if found else (t.as_py(), len(sentences(t.as_py() or "")), 0))
-                columns = [*part.columns[:-1], pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())]
+                for t, found, number in zip(part.column(at), part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
+                    out.append(without(t.as_py() or "", found, least_sentences, least_words) if found else (t.as_py(), number, 0))
+                columns = [*part.columns[:-2], pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())]
                 columns[at] = pa.array([x[0] for x in out], pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
