@@ -15,8 +15,8 @@ from .session import ready
 PIECE_BYTES = 4_000_000
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts together have about ``most`` bytes, one row at least."""
+def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts (in the ``column``-th column) together have about ``most`` bytes, one row at least."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, size in enumerate(sizes):
@@ -36,6 +36,11 @@ def free(columns: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` that doesn't stumble over dots in names; batches have the columns by position."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(work, schema)
+
+
 def extended(
     df: DataFrame,
     text: str,
@@ -58,12 +63,13 @@ def extended(
     extra = [] if stays else [df[f"`{text}`"].alias(source)]
     sent = df.select(*[df[f"`{c}`"] for c in kept], *extra)
     schema = T.StructType([*sent.schema.fields[: len(kept)], *fields])
+    at = sent.columns.index(source)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            for part in pieces(batch, source):
-                made = function(part.column(part.schema.get_field_index(source)))
+            for part in pieces(batch, at):
+                made = function(part.column(at))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *made], names=schema.names)
 
-    return sent.mapInArrow(work, schema)
+    return mapped(sent, work, schema)

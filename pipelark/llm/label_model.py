@@ -3,8 +3,12 @@
 Each of K voters says good (1), bad (-1) or nothing (0) about a row.  Given the
 class of a row the votes are taken as independent, with a probability for each
 voter, class and vote.  Expectation-maximisation finds these and the share of
-good rows.  Only the histogram of vote patterns matters, which has 3^K bins at
-most whatever the corpus: Spark counts it over all rows, the driver fits it.
+good rows; nothing bounds them, so that a voter that errs is overruled.  A fault
+is told from the ways of good rows by the votes that come with it: it takes
+voters that overlap, as a fault that one voter alone sees may pass for good.
+
+Only the histogram of vote patterns matters, which has 3^K bins at most whatever
+the corpus: Spark counts it over all rows, the driver fits it.
 """
 
 from __future__ import annotations
@@ -18,9 +22,11 @@ from pyspark.sql import functions as F
 #: More voters than this would make too many bins for the driver.
 VOTERS = 10
 
-#: Voters are written so that they say bad of this share of good rows at most.  Without
-#: the bound a frequent fault that only one voter sees would be taken for good.
-FALSE_ALARMS = 0.002
+#: Imagined rows of each class with each vote of a voter; they keep probabilities off 0 and 1.
+IMAGINED = 1.0
+
+#: The belief that a row is good at the start, without a bad vote and with some.
+START = 0.95, 0.05
 
 
 @dataclass(frozen=True)
@@ -72,28 +78,23 @@ class LabelModel:
         return right / np.maximum(given, 1e-12)
 
 
-def fit(histogram: dict[int, int], voters: int, rounds: int = 200, tolerance: float = 1e-7) -> LabelModel:
+def fit(histogram: dict[int, int], voters: int, rounds: int = 500, tolerance: float = 1e-9) -> LabelModel:
     """Expectation-maximisation on a histogram of patterns.
 
-    It starts from the belief that a row without a bad vote is good and that
-    each bad vote makes it less so.  An empty histogram gives an empty posterior.
+    It starts from the belief that rows without a bad vote are good and others
+    bad.  An empty histogram gives an empty posterior.
     """
     codes = np.array(sorted(histogram), dtype=np.int64)
     weight = np.array([histogram[c] for c in codes], dtype=float)
     seen = codes[:, None] // 3 ** np.arange(voters)[None, :] % 3  # vote + 1
-    bad, good = (seen == 0).sum(1), (seen == 2).sum(1)
-    belief = np.clip(0.95 * 0.25**bad + 0.02 * (good - voters / 2), 0.02, 0.98)
+    belief = np.where((seen == 0).any(1), START[1], START[0])
     share, table = 0.5, np.full((voters, 2, 3), 1 / 3)
     hot = np.eye(3)[seen]  # pattern, voter, vote
     for _ in range(rounds if len(codes) else 0):
         by_class = np.stack([weight * (1 - belief), weight * belief])
         share = float((by_class[1].sum() + 1) / (weight.sum() + 2))
-        # A few imagined votes keep probabilities off 0 and 1.
-        table = np.einsum("cp,pkv->kcv", by_class, hot) + 0.5
+        table = np.einsum("cp,pkv->kcv", by_class, hot) + IMAGINED
         table /= table.sum(2, keepdims=True)
-        over = np.maximum(table[:, 1, 0] - FALSE_ALARMS, 0)  # bad votes on good rows beyond the bound
-        table[:, 1, 0] -= over
-        table[:, 1, 1:] *= 1 + (over / (1 - FALSE_ALARMS - over))[:, None]
         logs = np.einsum("pkv,kcv->pc", hot, np.log(table)) + np.log([1 - share, share])
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
         moved, belief = np.abs(new - belief).max(), new

@@ -43,14 +43,14 @@ def labellers() -> list[Voter]:
     share = quality_rules._share
     return [
         Voter("words", F.col("n_words"), 30, 12),
-        Voter("signs by word", share("n_symbols", "n_words"), 0.05, 0.3),
-        Voter("signs by character", share("n_symbols", "word_chars"), 0.01, 0.06),
+        Voter("signs by character", share("n_symbols", "word_chars"), 0.01, 0.05),
+        Voter("words of signs", share("n_sign_words", "n_words"), 0.02, 0.1),
+        Voter("marked words", share("n_marked_words", "n_words"), 0.1, 0.25),
         Voter("repeated lines", share("n_dup_lines", "n_lines"), 0.2, 0.5),
         Voter("repeated words", share("n_repeat_words", "n_words"), 0.15, 0.4),
-        Voter("distinct words", share("n_distinct_words", "n_words"), 0.3, 0.15),
+        Voter("distinct words", share("n_distinct_words", "n_words"), 0.5, 0.35),
         Voter("capitals", share("n_capitals", "n_letters"), 0.15, 0.4),
-        Voter("marked words", share("n_marked_words", "n_distinct_words"), 0.1, 0.3),
-        Voter("sentence ends", share("n_words", "n_ends"), None, 120),
+        Voter("sentence ends", share("n_words", "n_ends"), 20, 28),
     ]
 
 
@@ -115,18 +115,27 @@ def train(rows: np.ndarray, labels: np.ndarray, rounds: int = 200, rate: float =
 
 
 def sampled(df: DataFrame, total: int, model: label_model.LabelModel, text: str, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and posterior labels of ``sample`` of the ``total`` rows at most, drawn by a hash.
+    """Features and posterior labels of ``sample`` different texts at most, those of the least hashes.
 
-    They are ``sample`` vectors of ``DIMENSIONS`` numbers on the driver at most.
+    A bound on hashes draws about a fifth more than ``sample`` of ``total`` texts; what comes
+    to the driver are their vectors of ``DIMENSIONS`` numbers.  Copies of a text are
+    drawn together and count once, so that neither partitions nor copies matter.
     """
+    draw = F.xxhash64(F.lit("sample"), F.col(f"`{text}`"))
     chance = min(1.0, 1.2 * sample / max(total, 1))
-    # Copies of a text hash alike; the row number tells them apart (any choice will do for training).
-    draw = F.pmod(F.xxhash64(F.col(text), F.monotonically_increasing_id()), F.lit(1 << 30))
-    drawn = df.select(text, draw.alias("draw")).filter(F.col("draw") < int(chance * (1 << 30)))
-    drawn = quality_rules.measure(drawn.orderBy("draw").limit(sample), text)
-    coded = drawn.withColumn("votes", pattern(labellers()))
-    fields = [T.StructField("features", T.BinaryType())]
-    found = extended(coded.select(text, "votes"), text, fields, lambda: lambda texts: [pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())], keep_text=False).collect()
+    drawn = df.select(F.col(f"`{text}`").alias("text"), draw.alias("draw")).filter(F.pmod("draw", F.lit(1 << 40)) < int(chance * (1 << 40)))
+
+    def make():
+        def work(texts: pa.Array) -> list[pa.Array]:
+            rows = np.array([quality_rules.measured(t.as_py()) for t in texts], dtype=np.int64).reshape(-1, len(quality_rules.MEASURES))
+            return [pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary()), *[pa.array(rows[:, i]) for i in range(rows.shape[1])]]
+
+        return work
+
+    fields = [T.StructField("features", T.BinaryType()), *[T.StructField(m, T.LongType()) for m in quality_rules.MEASURES]]
+    coded = extended(drawn, "text", fields, make, keep_text=False).select("draw", "features", pattern(labellers()).alias("votes"))
+    once = coded.groupBy("draw").agg(F.first("features").alias("features"), F.first("votes").alias("votes"))
+    found = sorted(once.collect(), key=lambda r: r["draw"])[:sample]
     rows = np.array([np.frombuffer(r["features"], dtype=np.float32) for r in found]).reshape(-1, DIMENSIONS)
     return rows, np.array([model.posterior.get(r["votes"], model.good_share) for r in found])
 
@@ -136,14 +145,14 @@ def quality_scores(df: DataFrame, text: str = "text", threshold: float = 0.5, sa
 
     ``weak_label`` is the label model's posterior, ``score`` the trained scorer's
     probability that the text is good.  Null and empty texts are scored by the
-    offset alone and never kept.  Repeated rows and nulls elsewhere change
-    nothing; columns named like results are replaced; an empty table gives an
+    offset alone and never kept; very long ones are scored whole.  Repeated rows
+    and nulls elsewhere change nothing, nor do partitions; columns named like results are replaced; an empty table gives an
     empty result.
     """
     ready(df.sparkSession)
     own = {*quality_rules.MEASURES, "weak_label", "score", "kept"}
-    rows = df.select(*[c for c in df.columns if c.lower() not in own or c == text])
-    measures = quality_rules.measure(rows.select(text), text, keep_text=False).select(pattern(labellers()).alias("votes"))
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own or c == text])
+    measures = quality_rules.measure(rows.select(F.col(f"`{text}`")), text, keep_text=False).select(pattern(labellers()).alias("votes"))
     histogram = {r[0]: r[1] for r in measures.groupBy("votes").count().collect()}
     model = label_model.fit(histogram, len(labellers()))
     weights, offset = train(*sampled(rows, sum(histogram.values()), model, text, sample))
@@ -168,4 +177,4 @@ def scored(rows: DataFrame, model: label_model.LabelModel, weights: np.ndarray,
     coded = label_model.posterior(rows.sparkSession, found.withColumn(code, pattern(labellers())), code, model, "weak_label")
     kept = (F.col("n_words") > 0) & (F.col(score) >= threshold)
     names = [c for c in found.columns if c not in (score, *quality_rules.MEASURES)]
-    return coded.select(*names, "weak_label", F.col(score).alias("score"), kept.alias("kept"))
+    return coded.select(*[F.col(f"`{c}`") for c in names], "weak_label", F.col(score).alias("score"), kept.alias("kept"))

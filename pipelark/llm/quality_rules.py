@@ -3,7 +3,8 @@
 Rules vote that a text is good or bad, or abstain.  A label model
 (:mod:`pipelark.llm.label_model`) estimates from the votes on all texts how far
 each rule is to be trusted, and a text stays if its posterior probability of
-being good is high enough.  Texts that fail the base limits (too few words, or
+being good is high enough.  Rules overlap, so that a fault has several votes, and
+look at different things, so that none says again what another has said.  Texts that fail the base limits (too few words, or
 mostly repeated ones) go in any case.
 """
 
@@ -24,16 +25,21 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_letters", "n_capitals", "n_marked_words", "n_ends")
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_letters", "n_capitals", "n_marked_words", "n_sign_words", "n_ends")
 
 
-def repeated(words: list[bytes]) -> tuple[int, int]:
-    """How many words lie in windows of three that occur twice or more, and how many distinct words there are."""
+def numbered(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words, and for each word which of them it is."""
     numbers: dict[bytes, int] = {}
     row = np.array([numbers.setdefault(w, len(numbers)) for w in words], dtype=np.int64)
-    m = len(numbers)
+    return [*numbers], row
+
+
+def repeated(row: np.ndarray, m: int) -> int:
+    """How many of the words (numbers below ``m``) lie in windows of three that occur twice or more."""
     if len(row) < 4:
-        return 0, m
+        return 0
     if m < 2_000_000:
         windows = (row[:-2] * m + row[1:-1]) * m + row[2:]
     else:  # the product would not fit: number the pairs first
@@ -48,7 +54,7 @@ def repeated(words: list[bytes]) -> tuple[int, int]:
     inside = np.zeros(len(row), dtype=bool)
     for shift in range(3):
         inside[shift : shift + len(windows)] |= twice
-    return int(inside.sum()), m
+    return int(inside.sum())
 
 
 def measured(text: str | None) -> tuple[int, ...]:
@@ -65,20 +71,22 @@ def measured(text: str | None) -> tuple[int, ...]:
             again += bool(line.strip())
         else:
             seen.add(line)
-    inside, distinct = repeated(words)
+    distinct, row = numbered(words)
+    often = np.bincount(row, minlength=len(distinct)).tolist()
     capitals = int(bins[65:91].sum())
-    marked = sum(1 for w in set(words) if not w[:1].isalpha() and w[0] < 128 or w[-1] in b"!#*$%&|<>")
+    marked = [(w, n) for w, n in zip(distinct, often) if not w[:1].isalpha() and w[0] < 128 or w[-1] in b"!#*$%&|<>"]
     return (
         len(words),
         points,
         int(bins[list(SYMBOLS)].sum()),
         len(lines),
         again,
-        inside,
-        distinct,
+        repeated(row, len(distinct)),
+        len(distinct),
         capitals + int(bins[97:123].sum()),
         capitals,
-        marked,
+        sum(n for _, n in marked),
+        sum(n for w, n in marked if not w.translate(None, SIGNS)),
         int(bins[list(b".!?")].sum()),
     )
 
@@ -105,14 +113,15 @@ def rules() -> list[Voter]:
     """The rules in use; a share is of words, lines or letters."""
     return [
         Voter("words", F.col("n_words"), LEAST_WORDS, 20),
-        Voter("word length", _share("word_chars", "n_words"), 9, 14),
-        Voter("symbols", _share("n_symbols", "n_words"), 0.05, 0.3),
+        Voter("word length", _share("word_chars", "n_words"), 4.6, 4.3),
+        Voter("symbols", _share("n_symbols", "word_chars"), 0.01, 0.05),
+        Voter("marked words", _share("n_marked_words", "n_words"), 0.1, 0.25),
+        Voter("words of signs", _share("n_sign_words", "n_words"), 0.02, 0.1),
         Voter("repeated lines", _share("n_dup_lines", "n_lines"), 0.2, 0.5),
         Voter("repeated words", _share("n_repeat_words", "n_words"), 0.15, 0.4),
         Voter("distinct words", _share("n_distinct_words", "n_words"), 0.3, 0.15),
         Voter("capitals", _share("n_capitals", "n_letters"), 0.15, 0.4),
-        Voter("marked words", _share("n_marked_words", "n_distinct_words"), 0.1, 0.3),
-        Voter("sentence ends", _share("n_words", "n_ends"), None, 120),
+        Voter("sentence ends", _share("n_words", "n_ends"), 20, 28),
     ]
 
 
@@ -126,6 +135,11 @@ def fitted(measures: DataFrame) -> LabelModel:
     return fit_votes(measures.select(pattern(rules()).alias("votes")), "votes", len(rules()))
 
 
+def accuracies(model: LabelModel) -> dict[str, float]:
+    """For each rule how often a vote that it gives is right, as the model estimates it."""
+    return dict(zip((r.name for r in rules()), model.accuracies().tolist()))
+
+
 def judged(measures: DataFrame, model: LabelModel, threshold: float) -> DataFrame:
     """Measured rows with ``base_failed``, ``quality`` (the posterior) and ``kept``."""
     code = free(measures.columns, "votes")
@@ -137,12 +151,13 @@ def judged(measures: DataFrame, model: LabelModel, threshold: float) -> DataFram
 def quality_report(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Every row of ``df`` without its text, with measures, posterior and verdict.
 
-    Null and empty texts have no words and fail the base limits.  Repeated rows
-    and rows with nulls elsewhere are judged like others; columns that are named
-    like results are replaced; an empty table gives an empty result.
+    Null and empty texts have no words and fail the base limits; a very long text
+    is measured whole, by itself.  Repeated rows and rows with nulls elsewhere are
+    judged like others; columns that are named like results are replaced; an
+    empty table gives an empty result.
     """
     own = {*MEASURES, "base_failed", "quality", "kept"}
-    rows = df.select(*[c for c in df.columns if c.lower() not in own or c == text])
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in own or c == text])
     measures = settled(measure(rows, text, keep_text=False))
     return judged(measures, fitted(measures), threshold)
 
@@ -151,8 +166,8 @@ def quality_filter(df: DataFrame, text: str = "text", threshold: float = 0.5) ->
     """The rows of ``df`` that stay, with its own columns only.
 
     Null and empty texts fail the base limits and go.  Repeated rows stay or go
-    together; nulls and names of other columns don't matter; an empty table
-    gives an empty result.  The measures are taken twice, once for the model and once beside the rows,
+    together; nulls and names of other columns don't matter; a very long text is
+    measured whole; an empty table gives an empty result.  The measures are taken twice, once for the model and once beside the rows,
     so that no text is written in between.
     """
     renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])

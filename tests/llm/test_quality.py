@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -33,27 +34,84 @@ def test_measures(text):
 
 def test_measures_of_many_distinct_words():
     words = [f"w{i}".encode() for i in range(3000)]
-    assert quality_rules.repeated(words + words[:5]) == (10, 3000)
-    assert quality_rules.repeated([b"a"] * 5) == (5, 1)
-    assert quality_rules.repeated([b"a"] * 3) == (0, 1)
+
+    def counted(words):
+        distinct, row = quality_rules.numbered(words)
+        return quality_rules.repeated(row, len(distinct)), len(distinct)
+
+    assert counted(words + words[:5]) == (10, 3000)
+    assert counted([b"a"] * 5) == (5, 1)
+    assert counted([b"a"] * 3) == (0, 1)
+
+
+def test_measures_of_signs():
+    found = dict(zip(quality_rules.MEASURES, quality_rules.measured('One | two--- ### "three" four, | 5.')))
+    assert (found["n_words"], found["n_sign_words"], found["n_marked_words"], found["n_ends"]) == (8, 3, 5, 1)
+
+
+def planted(seed, right, speaks, rows=60_000, share=0.7):
+    """Votes (0 bad, 1 none, 2 good) of voters that are right and speak that often, and the truth."""
+    rng = np.random.default_rng(seed)
+    truth = rng.random(rows) < share
+    votes = np.ones((rows, len(right)), int)
+    for k, (r, s) in enumerate(zip(right, speaks)):
+        says = np.where(rng.random(rows) < r, truth, ~truth)
+        votes[:, k] = np.where(rng.random(rows) < s, 2 * says, 1)
+    return votes, truth
+
+
+def coded(votes):
+    return (votes * 3 ** np.arange(votes.shape[1])).sum(1).tolist()
 
 
 def test_label_model_finds_accuracies():
-    rng = np.random.default_rng(1)
-    right, speaks = [0.95, 0.9, 0.85, 0.8, 0.7], [0.9, 0.8, 0.9, 0.7, 0.9]
-    truth = rng.random(60_000) < 0.7
-    # Bad votes on good rows are bounded, so that wrong votes here are good votes on bad rows.
-    votes = np.ones((len(truth), 5), int)
-    for k in range(5):
-        says = np.where(truth, 2, np.where(rng.random(len(truth)) < right[k], 0, 2))
-        votes[:, k] = np.where(rng.random(len(truth)) < speaks[k], says, 1)
-    codes = (votes * 3 ** np.arange(5)).sum(1)
-    model = label_model.fit(dict(Counter(codes.tolist())), 5)
+    """Also that of a voter which is hardly better than chance, and is overruled."""
+    right, speaks = [0.97, 0.95, 0.93, 0.9, 0.55], [0.9, 0.8, 0.9, 0.7, 0.9]
+    votes, truth = planted(1, right, speaks)
+    codes = coded(votes)
+    model = label_model.fit(dict(Counter(codes)), 5)
     assert abs(model.good_share - 0.7) < 0.02
-    expected = [(0.7 + 0.3 * r) for r in right]
-    assert np.abs(model.accuracies() - expected).max() < 0.03
-    belief = np.array([model.posterior[c] for c in codes.tolist()])
-    assert ((belief > 0.5) == truth).mean() > 0.95
+    assert np.abs(model.accuracies() - right).max() < 0.03
+    belief = np.array([model.posterior[c] for c in codes])
+    assert ((belief > 0.5) == truth).mean() > 0.97
+    alone = (votes[:, 4] == 0) & (votes[:, :4] != 0).all(1) & (votes[:, :4] == 2).any(1)
+    assert alone.sum() > 1000 and (belief[alone] > 0.5).all()
+
+
+def plain_label_model(votes, rounds=500):
+    """Expectation-maximisation row by row: the posterior of each row."""
+    rows, voters = votes.shape
+    belief = [0.05 if (v == 0).any() else 0.95 for v in votes]
+    for _ in range(rounds):
+        total = sum(belief)
+        share = (total + 1) / (rows + 2)
+        chance = {}
+        for k in range(voters):
+            for c in (0, 1):
+                held = [1.0, 1.0, 1.0]
+                for v, b in zip(votes[:, k].tolist(), belief):
+                    held[v] += b if c else 1 - b
+                for v in range(3):
+                    chance[k, c, v] = held[v] / sum(held)
+        new = []
+        for v in votes.tolist():
+            good, bad = share, 1 - share
+            for k, x in enumerate(v):
+                good *= chance[k, 1, x]
+                bad *= chance[k, 0, x]
+            new.append(good / (good + bad))
+        moved = max(abs(a - b) for a, b in zip(new, belief))
+        belief = new
+        if moved < 1e-9:
+            break
+    return belief
+
+
+def test_label_model_against_a_plain_one():
+    votes, _ = planted(2, [0.95, 0.9, 0.7, 0.85], [0.9, 0.5, 0.9, 0.8], rows=300)
+    codes = coded(votes)
+    model = label_model.fit(dict(Counter(codes)), 4)
+    assert np.allclose([model.posterior[c] for c in codes], plain_label_model(votes), atol=1e-6)
 
 
 def test_label_model_of_nothing():
@@ -97,7 +155,44 @@ def test_rules_query(spark, labels):
         assert r.base_failed == (words < 50 or 100 * inside > 50 * words)
         assert not (r.kept and r.base_failed)
     long = [i for i in quality if not rows[i].base_failed]
-    assert np.mean([rows[i].kept == (quality[i] == 1) for i in long]) > 0.97
+    assert np.mean([rows[i].kept == (quality[i] == 1) for i in long]) > 0.99
+
+
+def rule_votes(text):
+    """The rules' votes, from measures that are counted plainly."""
+    n, chars, signs, lines, again, inside, distinct = plain(text)
+    words = WORD.findall(text or "")
+    marked = [w for w in words if w[0] < "\x80" and not w[0].isalpha() or w[-1] in "!#*$%&|<>"]
+    only = [w for w in words if all("!" <= c <= "~" and not c.isalnum() for c in w)]
+    letters = [c for c in text or "" if c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    ends = sum(c in ".!?" for c in text or "")
+    shares = [
+        (n, 50, 20),
+        (chars / max(n, 1), 4.6, 4.3),
+        (signs / max(chars, 1), 0.01, 0.05),
+        (len(marked) / max(n, 1), 0.1, 0.25),
+        (len(only) / max(n, 1), 0.02, 0.1),
+        (again / max(lines, 1), 0.2, 0.5),
+        (inside / max(n, 1), 0.15, 0.4),
+        (distinct / max(n, 1), 0.3, 0.15),
+        (sum(c.isupper() for c in letters) / max(len(letters), 1), 0.15, 0.4),
+        (n / max(ends, 1), 20, 28),
+    ]
+    return [0 if (x >= bad if good < bad else x <= bad) else 2 if (x <= good if good < bad else x >= good) else 1 for x, good, bad in shares]
+
+
+def test_quality_and_verdict_against_a_plain_model(spark, labels):
+    """Every row's posterior and verdict; some texts with a bad vote are kept, as the model decides."""
+    d, _, texts = labels
+    ids = sorted(texts)
+    votes = np.array([rule_votes(texts[i]) for i in ids])
+    expected = plain_label_model(votes)
+    rows = {r.doc_id: r for r in queries.op1_quality_rules(spark, d).collect()}
+    assert np.allclose([rows[i].quality for i in ids], expected, atol=1e-5)
+    assert [rows[i].kept for i in ids] == [b >= 0.5 and not rows[i].base_failed for i, b in zip(ids, expected)]
+    assert any(rows[i].kept and (v == 0).any() for i, v in zip(ids, votes))
+    accuracy = quality_rules.accuracies(quality_rules.fitted(quality_rules.measure(spark.read.parquet(f"{d}/documents.parquet"))))
+    assert len(accuracy) == 10 and min(accuracy.values()) > 0.5
 
 
 def test_classifier_query(spark, labels):
@@ -109,6 +204,55 @@ def test_classifier_query(spark, labels):
     assert np.mean([rows[i].kept for i in quality if quality[i] == 0]) < 0.15
 
 
+def plain_features(text):
+    """The shares of hashed features, counted one by one."""
+    words = (text or "").split()
+    out, last = np.zeros(quality_classifier.DIMENSIONS), {}
+
+    def number(feature):
+        return xxhash.xxh64_intdigest(feature) % quality_classifier.DIMENSIONS
+
+    shapes = []
+    for at, word in enumerate(words):
+        shape = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0].isupper() and len(m[0]) > 1 else "x", word)
+        shapes.append(number("shape " + re.sub(r"\d+", "9", shape)))
+        out[shapes[-1]] += 1
+        if len(word) <= 3:
+            out[number("word " + word.lower())] += 1
+        if at:
+            out[(shapes[-2] * 31 + shapes[-1] * 17 + 7) % quality_classifier.DIMENSIONS] += 1
+        if word in last and at - last[word] < 256:
+            out[number(f"gap {(at - last[word]).bit_length() - 1}")] += 1
+        last[word] = at
+    return out / max(len(words), 1)
+
+
+def test_scores_against_plain_ones(spark, labels):
+    """Weights trained by plain steps on the drawn texts give every row's score."""
+    d, _, texts = labels
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    measures = quality_rules.measure(rows).select(label_model.pattern(quality_classifier.labellers()).alias("votes"))
+    model = label_model.fit_votes(measures, "votes", len(quality_classifier.labellers()))
+    found, soft = quality_classifier.sampled(rows.repartition(7), len(texts), model, "text", 400)
+    again, soft_again = quality_classifier.sampled(rows.union(rows), len(texts), model, "text", 400)
+    assert len(found) == 400 and (found == again).all() and (soft == soft_again).all()
+    share = soft.mean()
+    weight = soft * 0.5 / share + (1 - soft) * 0.5 / (1 - share)
+    scale = 1 / np.maximum(found.std(0, dtype=np.float64), 1e-2)
+    x = found * scale - (found * scale).mean(0)
+    w, b, vw, vb = np.zeros(x.shape[1]), 0.0, 0.0, 0.0
+    step = 2.0 / max(1.0, (x**2).sum(1).mean())
+    for _ in range(200):
+        off = weight * (1 / (1 + np.exp(-(x @ w + b))) - soft) / len(x)
+        vw, vb = 0.9 * vw + off @ x + 1e-4 * w, 0.9 * vb + off.sum()
+        w, b = w - step * vw, b - step * vb
+    weights, offset = quality_classifier.train(found, soft)
+    assert np.allclose(weights, w * scale, atol=1e-2 * np.abs(w * scale).max()) and abs(offset - (b - (found * scale).mean(0) @ w)) < 0.05
+    scores = {r.doc_id: r.score for r in quality_classifier.quality_scores(rows, sample=400).collect()}
+    for i, text in texts.items():
+        assert abs(scores[i] - 1 / (1 + np.exp(-(plain_features(text) @ weights + offset)))) < 1e-4
+
+
 def test_classifier_on_odd_rows(nasty, empty, others):
     scores = quality_classifier.quality_scores(nasty, sample=8)
     others(scores, ("weak_label", "score", "kept", *quality_rules.MEASURES), ("text",))
