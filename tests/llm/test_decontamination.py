@@ -1,6 +1,7 @@
 """Greedy string tiling against a plain search, and leaks in whole, reordered and in part."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -33,15 +34,30 @@ def test_tiles():
     for _ in range(400):
         a = [rng.randint(1, 4) for _ in range(rng.randint(3, 22))]
         b = [rng.randint(1, 4) for _ in range(rng.randint(3, 36))]
-        seeds = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
-        assert tiles(np.array(a), np.array(b), seeds, 3) == plain(a, b, 3)
+        assert tiles(np.array(a), np.array(b), 3) == plain(a, b, 3)
 
 
-def test_rolled_hashes():
-    row = np.array([3, 1, 4, 1, 5, 9, 2, 6, 3, 1, 4, 1, 5], dtype=np.uint64)
-    hashes = decontamination.rolled(row)
+def test_running_hashes():
+    row = np.array([3, 1, 4, 1, 5, 9, 2, 6, 3, 1, 4, 1, 5])
+    hashes = decontamination.Running(row).windows(5)
     assert len(hashes) == 9 and hashes[0] == hashes[8] and len(set(hashes.tolist())) == 8
-    assert len(decontamination.rolled(row[:4])) == 0
+    assert len(decontamination.Running(row[:4]).windows(5)) == 0
+    rng = random.Random(1)
+    for numbers in ([rng.randint(1, 2) for _ in range(4000)], list(range(4000))):
+        for size in (1, 5, 17, 600):
+            windows = decontamination.Running(np.array(numbers)).windows(size).tolist()
+            of = [tuple(numbers[i : i + size]) for i in range(len(numbers) - size + 1)]
+            assert len(set(windows)) == len(set(of)) == len(set(zip(windows, of)))
+
+
+def test_words_again_and_again_are_bounded():
+    """Equal words all over, and one opening that very many items have."""
+    begun = time.process_time()
+    same = ItemBlock([(0, "yes " * 400)])
+    assert [t["n_words"] for t in same.leaks("yes " * 60_000, 0.5)[0]["tiles"]] == [400]
+    many = ItemBlock([(k, f"the same five words open it {' '.join(f'w{k}x{i}' for i in range(9))}") for k in range(20_000)])
+    assert many.leaks("the same five words open it " * 200, 0.5) == []
+    assert time.process_time() - begun < 60
 
 
 def test_leaks_against_a_plain_search(prose):
@@ -120,6 +136,47 @@ def test_odd_rows(nasty, empty, others, benchmark):
     assert all(r.leaks == [] for r in leaks(nasty, benchmark.filter("false")).collect())
 
 
+@pytest.mark.parametrize("ids", [[3, 1, 2, None, 0], ["b", "", "a", None, "ab"]])
+def test_blocks_don_t_matter(spark, prose, ids):
+    """Several leaks a document, ties among them, and ids that are empty or null: the same lists for any block size."""
+    items = [prose(800 + k, 40).split() for k in range(5)]
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in zip(ids, items)], f"item_id {'long' if ids[0] == 3 else 'string'}, text string")
+    rng = random.Random(3)
+    rows = [(n, " . ".join(" ".join(items[k][: rng.choice([40, 40, 25, 30])]) for k in rng.sample(range(5), 4))) for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, several = ({r.doc_id: r.leaks for r in leaks(docs, benchmark, block_chars=n).collect()} for n in (10**7, 250))
+    assert one == several
+    assert all(len(x) >= 4 and [y.coverage for y in x] == sorted((y.coverage for y in x), reverse=True) for x in one.values())
+    for x in one.values():
+        assert all((a.item_id is not None and (b.item_id is None or a.item_id < b.item_id)) for a, b in zip(x, x[1:]) if a.coverage == b.coverage)
+
+
+def test_query_against_a_plain_search(spark):
+    """Every document's leaks and the best of them, from tilings by plain loops of whatever shares five words."""
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: decontamination.words(r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    items = {r.item_id: decontamination.words(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    grams = {}
+    for k, words in items.items():
+        for i in range(len(words) - 4):
+            grams.setdefault(tuple(words[i : i + 5]), set()).add(k)
+    expected = {}
+    for i, words in docs.items():
+        # Only what seeds cover can be in a tile; None equals no word.
+        near, sharing = [None] * len(words), set()
+        for at in range(len(words) - 4):
+            if hit := grams.get(tuple(words[at : at + 5])):
+                sharing |= hit
+                near[at : at + 5] = words[at : at + 5]
+        near = [w for w, before in zip(near, [0, *near]) if w is not None or before is not None]
+        shares = {k: sum(t[2] for t in plain(items[k], near, 5)) / len(items[k]) for k in sharing}
+        expected[i] = sorted((-s, k) for k, s in shares.items() if s >= 0.5)
+    rows = queries.op5_decontamination(spark, d).collect()
+    assert any(expected.values())
+    assert {r.doc_id: r.item_ids for r in rows} == {i: [k for _, k in x] for i, x in expected.items()}
+    assert all((r.item_id, r.coverage) == ((expected[r.doc_id][0][1], -expected[r.doc_id][0][0]) if expected[r.doc_id] else (None, 0)) for r in rows)
+
+
 def test_query(spark):
     """Every document that holds an item word for word is found, and no document without a long part of one."""
     d = "/root/testdata/sf0.01"
