@@ -51,6 +51,46 @@ def test_shards(spark, monkeypatch, rows, parts, target):
         assert sorted(r.slot for r in found if r.shard == s) == list(range(sizes[s]))
 
 
+def test_texts_and_hot_keys(spark, monkeypatch, prose):
+    """Rows with texts, a third of them equal, in several parts of each shard: all come out whole."""
+    monkeypatch.setattr(sharding, "TARGET_ROWS", 20)
+    rows = [(i, "the same text" if i % 3 == 0 else prose(i, 30) if i % 10 else None) for i in range(700)]
+    found = sharding.shard(spark.createDataFrame(rows, "id long, text string").repartition(5), 6).collect()
+    assert sorted((r.id, r.text) for r in found) == rows
+    sizes = Counter(r.shard for r in found)
+    assert [sizes[s] for s in range(6)] == sharding.even(700, 6)
+    assert all(sorted(r.slot for r in found if r.shard == s) == list(range(sizes[s])) for s in range(6))
+
+
+@pytest.mark.parametrize("rows", [4_000, 700_000])
+def test_matrix_of_very_many_partitions(rows):
+    """200,000 partitions of 8 * 10^8 rows in all, and 2,000 of 1.4 * 10^9: exact margins, and a few dozen MB on the driver."""
+    rng = np.random.default_rng(3)
+    parts = 200_000 if rows < 10_000 else 2_000
+    sent = rng.integers(0, 2 * rows, parts).tolist()
+    sizes = sharding.even(sum(sent), 24)
+    if rows > 10_000:
+        assert sum(sent) > sharding._NUMPY_ROWS
+    matrix = sharding.communication_matrix(sent, sizes, 1)
+    assert matrix.nbytes <= 40_000_000
+    assert matrix.sum(1).tolist() == sent and matrix.sum(0).tolist() == sizes and matrix.min() >= 0
+    # As a uniform shuffle has it: about a 24th each, with the law's spread.
+    away = (matrix - np.array(sent)[:, None] / 24) / np.sqrt(np.maximum(np.array(sent)[:, None], 1) * 23 / 24**2)
+    assert abs(away.mean()) < 0.01 and abs(away.std() - 1) < 0.02
+
+
+def test_uniform_in_parts(spark, monkeypatch):
+    """Shards that are permuted in several parts are uniform as well."""
+    monkeypatch.setattr(sharding, "TARGET_ROWS", 150)
+    found = sharding.shard(spark.range(0, 8000, 1, 8), 8, 3).collect()
+    table = np.zeros((8, 8))
+    for r in found:
+        table[r.id // 1000, r.slot // 125] += 1
+    assert ((table - 125) ** 2 / 125).sum() < 90
+    moved = [r.id for r in sorted(found, key=lambda r: (r.shard, r.slot))]
+    assert abs(np.corrcoef(moved, range(8000))[0, 1]) < 0.06
+
+
 def test_shards_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BROADCAST", 0)
     assert sharding.shard(spark.range(0, 100, 1, 3), 5).groupBy("shard").count().filter("count = 20").count() == 5
