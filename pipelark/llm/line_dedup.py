@@ -48,7 +48,7 @@ def keep_bitmaps(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     ``keep`` lists (word, bits): bit i of word w is line 64 w + i, 1 if it stays;
     words without a dropped line aren't listed.
     """
-    lines = df.select(df[doc_id].alias("doc"), version(df[text]).alias("version"), F.posexplode(lines_of(df[text])).alias("at", "line"))
+    lines = df.select(df[f"`{doc_id}`"].alias("doc"), version(df[f"`{text}`"]).alias("version"), F.posexplode(lines_of(df[f"`{text}`"])).alias("at", "line"))
     keyed = lines.select("doc", "version", "at", line_key(F.col("line")).alias("key")).filter(F.length("key") >= least_length)
     rows = settled(keyed.select(*first_seen.key(F.col("key")), "doc", "version", "at"))
     dropped = first_seen.later(rows, whole_document=True)
@@ -95,7 +95,7 @@ def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least_
 
     See :func:`keep_bitmaps` for the lines that go.  No row goes: a document of
     which every line is dropped has an empty text.  Rows that repeat an id and
-    text fare alike.  Columns named like results are replaced, others pass
+    text fare alike.  Lines of very long texts count like others.  Columns named like results are replaced, others pass
     through; an empty table gives an empty result.
     """
     return apply_bitmaps(df, keep_bitmaps(df, doc_id, text, least_length), doc_id, text)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .batches import extended
+from .batches import extended, mapped
 from .merges import Memo, MergeVocabulary
 from .session import ready
 
@@ -54,6 +54,8 @@ class PieceCodec:
         self.prefix = MARK if normal.add_dummy_prefix else ""
         self.unknown = next(i for i, p in enumerate(spec.pieces) if p.type == kinds.UNKNOWN)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == kinds.BYTE}
+        if len(self.bytes) < 256:
+            raise ValueError("a model must spell characters outside its vocabulary with bytes")
         pieces = {i: p.piece for i, p in enumerate(spec.pieces) if p.type in (kinds.NORMAL, kinds.UNUSED)}
         scores = {i: -p.score for i, p in enumerate(spec.pieces)}
         ids = {piece: i for i, piece in pieces.items()}
@@ -80,8 +82,8 @@ class PieceCodec:
         self.silent = {i for i, p in enumerate(spec.pieces) if p.type == kinds.CONTROL}
 
     def outside(self, char: str) -> list[int]:
-        """A character without a piece: its bytes if the model has them, else unknown."""
-        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
+        """A character without a piece: its bytes."""
+        return [self.bytes[b] for b in char.encode()]
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text, without begin or end ids; none for an empty text."""
@@ -128,8 +130,8 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
 
     With ``decoded`` there is a column of that name with the text that the ids
     give back, from the same pass over the rows.  Null and empty texts have no
-    ids.  Rows are kept as they are, repeated ones and those with nulls elsewhere
-    included; other columns pass through (``text`` if ``keep_text``), and those
+    ids, very long ones are encoded whole.  Rows are kept as they are, repeated
+    ones and those with nulls elsewhere included; other columns pass through (``text`` if ``keep_text``), and those
     named like results are replaced.  An empty table gives an empty result.
     """
     model = _shipped(df, model_path)
@@ -149,19 +151,24 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids",
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``df`` with the texts of its ids as ``text``; null ids and no ids give an empty text."""
+    """``df`` with the texts of its ids as ``text``; null ids and no ids give an empty text.
+
+    Long rows of ids are decoded whole.  All rows are kept, repeated ones and those
+    with nulls elsewhere included; other columns pass through, one named like the
+    result is replaced; an empty table gives an empty result.
+    """
     model = _shipped(df, model_path)
     known = [c for c in df.columns if c.lower() != text.lower()]
     schema = T.StructType([*[df.schema[c] for c in known], T.StructField(text, T.StringType())])
     sent = df.select(*[df[f"`{c}`"] for c in known])
+    at = [c.lower() for c in known].index(ids.lower())
 
     def work(batches):
         made = codec(model.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                column = part.column(part.schema.get_field_index(ids))
-                texts = [made.decode(row.as_py() or ()) for row in column]
+                texts = [made.decode(row.as_py() or ()) for row in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return sent.mapInArrow(work, schema)
+    return mapped(sent, work, schema)

@@ -200,7 +200,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     ids count only where a component has no other.  Rows that repeat an id stay
     as they are; an empty table gives an empty result.
     """
-    rows = fingerprints(df.select(df[doc_id].alias("doc_id"), df[text].alias("text")), "text", "fp", shingle, keep_text=False)
+    rows = fingerprints(df.select(df[f"`{doc_id}`"].alias("doc_id"), df[f"`{text}`"].alias("text")), "text", "fp", shingle, keep_text=False)
     return groups(settled(rows), "doc_id")
 
 

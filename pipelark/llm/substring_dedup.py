@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import first_seen
-from .batches import free, pieces
+from .batches import free, mapped, pieces
 from .session import ready, settled
 
 LEAST_SENTENCES, LEAST_WORDS, LONG = 2, 20, 24
@@ -129,7 +129,7 @@ def _hashed(rows: DataFrame, least_sentences: int, least_words: int) -> DataFram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, 2):
                 each = [spans(t.as_py() or "", least_sentences, least_words) for t in part.column(2)]
                 ends = pa.array(np.cumsum([0, *(len(x[0]) for x in each)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i] for x in each]))) for i in range(2)]
@@ -175,7 +175,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """``df`` with shorter texts, and ``n_sentences`` (before) and ``n_removed`` (long) as last columns.
 
     All rows stay, those whose whole text goes with an empty one.  Null texts
-    stay null; texts without a run are as they were.  Rows that repeat an id and
+    stay null, very long ones are taken whole; texts without a run are as they were.  Rows that repeat an id and
     text fare alike; null ids come last and count as one document.  Columns
     named like results are replaced; an empty table gives an empty result.
     """
@@ -190,7 +190,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, kept[at]):
+            for part in pieces(batch, at):
                 out = []
                 for t, found, number in zip(part.column(at), part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
                     out.append(without(t.as_py() or "", found, least_sentences, least_words) if found else (t.as_py(), number, 0))
@@ -198,4 +198,4 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
                 columns[at] = pa.array([x[0] for x in out], pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return both.mapInArrow(work, schema)
+    return mapped(both, work, schema)

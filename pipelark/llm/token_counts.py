@@ -134,15 +134,21 @@ def fits(counts: np.ndarray, budget: int) -> int:
 
 
 def prefix_counts(df: DataFrame, tokenizer_path: str, text: str = "text", counts: str = "prefix_counts") -> DataFrame:
-    """``df`` with the whole table of each text: the tokens of each prefix, from the empty one on."""
+    """``df`` with the whole table of each text: the tokens of each prefix, from the empty one on.
+
+    Null and empty texts have the empty prefix only; the table of a very long text
+    is as long as the text.  All rows are kept, repeated ones and those with nulls
+    elsewhere included; other columns pass through, one named like the result is
+    replaced; an empty table gives an empty result.
+    """
     return _tables(df, tokenizer_path, text, [T.StructField(counts, T.ArrayType(T.IntegerType()))], lambda table: [table.tolist()])
 
 
 def token_budget(df: DataFrame, tokenizer_path: str, budget: int = 512, text: str = "text") -> DataFrame:
     """``df`` with ``n_tokens`` of each text and ``fit_chars``, how many of its characters fit into ``budget``.
 
-    Both are read from the prefix table.  Null and empty texts have no tokens.
-    All rows are kept, repeated ones and those with nulls elsewhere included;
+    Both are read from the prefix table.  Null and empty texts have no tokens; very
+    long ones are counted whole.  All rows are kept, repeated ones and those with nulls elsewhere included;
     other columns pass through, those named like results are replaced; an empty
     table gives an empty result.
     """

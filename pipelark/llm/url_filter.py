@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import free, pieces
+from .batches import free, mapped, pieces
 from .session import ready
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,7 +49,7 @@ class Automaton:
 
     def __init__(self, patterns: list[str]):
         self.accepts, places, starts = [], [], []
-        stay_any, stay_run = [], []
+        stay_any, stay_run, stay_char = [], [], []
         for pattern in patterns:
             starts.append(len(places))
             for part in re.findall(r"\*+|[^*]", pattern):
@@ -58,6 +58,7 @@ class Automaton:
                     (stay_any if len(part) > 1 else stay_run).append(len(places))
                 elif part == "?":
                     places.append(None)
+                    stay_char.append(len(places))  # for the other bytes of the character
                 else:
                     places.extend(part.encode())
             self.accepts.append(len(places))
@@ -67,12 +68,13 @@ class Automaton:
         on = [[] for _ in range(256)]
         for at, place in enumerate(places):
             for c in range(256):
-                if place == c or (place is None and c != 47):
+                if place == c or (place is None and c != 47 and not 128 <= c < 192):
                     on[c].append(at)
         self.leads = np.stack([self._row(x) for x in on])
         run = self._row(stay_run) | self._row(stay_any)
         self.stays = np.tile(run, (256, 1))
         self.stays[47] = self._row(stay_any)
+        self.stays[128:192] |= self._row(stay_char)
 
     def _row(self, bits: list[int]) -> np.ndarray:
         row = np.zeros(self.words, dtype=np.uint64)
@@ -128,8 +130,8 @@ def filter_urls(df: DataFrame, rules: list[Rule], blocked: list[str], url: str =
 
     The longest rule that fits decides; where none fits, the URL is blocked if
     one of the wildcard patterns ``blocked`` matches it, and allowed otherwise.
-    Null URLs and those without ``://`` have an empty host and path.  All rows
-    are kept and other columns pass through; those named like results are
+    Null URLs and those without ``://`` have an empty host and path; very long
+    ones are matched whole.  All rows are kept and other columns pass through; those named like results are
     replaced; an empty table gives an empty result.
     """
     ready(df.sparkSession)
@@ -146,7 +148,7 @@ def filter_urls(df: DataFrame, rules: list[Rule], blocked: list[str], url: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, at):
+            for part in pieces(batch, batch.num_columns - 1):
                 texts = [(t.as_py() or "").encode() for t in part.column(part.num_columns - 1)]
                 hits = automaton.match(texts)
                 rule = np.full(len(texts), None, dtype=object)
@@ -156,4 +158,4 @@ def filter_urls(df: DataFrame, rules: list[Rule], blocked: list[str], url: str =
                     rule[fits], verdict[fits] = r.name, r.action
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(work, schema)
+    return mapped(rows, work, schema)
