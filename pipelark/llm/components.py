@@ -4,8 +4,10 @@ Every round draws the neighbours of a node to the smallest node near it: first
 those above the node (large star), then the node and those below (small star).
 Links only ever get nearer to stars around the smallest node of a component,
 and the number of rounds grows with the logarithm of its size.  Minima are found
-by aggregation, which combines before the shuffle, so that a node with very many
-links does no harm; rounds are cut off from each other by checkpoints.
+by aggregation, which combines before the shuffle.  What goes back to the links
+is joined in two ways: the minima of nodes with very many links, of which there
+are few, are broadcast, so that no task gets all links of such a node; the
+others are shuffled.  Rounds are cut off from each other by checkpoints.
 """
 
 from __future__ import annotations
@@ -16,22 +18,36 @@ from pyspark.sql import functions as F
 from .session import settled
 
 
+#: Links from which on a node is a hub.
+HUB = 100_000
+
+
 def _minima(links: DataFrame, node: str, other: str) -> DataFrame:
-    """Of each ``node`` the least of itself and its ``other`` ends."""
-    return links.groupBy(F.col(node).alias("node")).agg(F.least(F.col("node"), F.min(other)).alias("least"))
+    """Of each ``node`` the least of itself and its ``other`` ends, and the number of these."""
+    return links.groupBy(F.col(node).alias("node")).agg(F.least(F.col("node"), F.min(other)).alias("least"), F.count("*").alias("n"))
+
+
+def _with_least(links: DataFrame, node: str, minima: DataFrame) -> DataFrame:
+    """``links`` with the ``least`` of their ``node``."""
+    # Of 2 * 10^10 ends at most 200,000 are hubs, with three numbers each.
+    hubs = minima.filter(F.col("n") >= HUB).select(F.col("node").alias("hub"), F.col("least").alias("hub_least"))
+    known = links.join(F.broadcast(hubs), F.col(node) == F.col("hub"), "left")
+    rest = known.filter("hub_least is null").join(minima.filter(F.col("n") < HUB), F.col(node) == F.col("node"))
+    found = known.filter(F.col("hub").eqNullSafe(F.col(node)))
+    return rest.select("a", "b", "least").unionByName(found.select("a", "b", F.col("hub_least").alias("least")))
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # a: the centre; its larger neighbours move to the least node of the star.
-    moved = both.filter("b > a").join(_minima(both, "a", "b"), F.col("a") == F.col("node"))
+    moved = _with_least(both.filter("b > a"), "a", _minima(both, "a", "b"))
     return moved.select(F.col("least").alias("a"), "b").filter("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     # b: the centre; it and its smaller neighbours move to the least of these.
     least = _minima(links, "b", "a")
-    moved = links.join(least, F.col("b") == F.col("node")).select(F.col("least").alias("a"), F.col("a").alias("b"))
+    moved = _with_least(links, "b", least).select(F.col("least").alias("a"), F.col("a").alias("b"))
     own = least.select(F.col("least").alias("a"), F.col("node").alias("b"))
     return moved.unionByName(own).filter("a <> b").distinct()
 
@@ -42,7 +58,8 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has the columns ``a`` and ``b``; links to itself don't count.  A
     root has no row of its own.
     """
-    now = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    # Settled, as what makes the links may be costly and each round reads them several times.
+    now = settled(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
     while True:
         now = settled(_small_star(_large_star(now)))
