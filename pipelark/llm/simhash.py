@@ -15,17 +15,18 @@ A key holds at most 49 * 2^16 distinct fingerprints, whatever the corpus.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jaccard
-from .batches import extended, free
+from .batches import extended
 from .components import components
 from .session import ready, settled
 
@@ -196,8 +197,8 @@ def _least(distinct: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``fp`` (long) and ``component`` (the smallest reachable id) of every row of ``df``.
 
-    Null and empty texts have the fingerprint 0 and are linked like others; null
-    ids count only where a component has no other.  Rows that repeat an id stay
+    Null and empty texts have the fingerprint 0 and are linked like others; very
+    long ones count whole; null ids count only where a component has no other.  Rows that repeat an id stay
     as they are; an empty table gives an empty result.
     """
     rows = fingerprints(df.select(df[f"`{doc_id}`"].alias("doc_id"), df[f"`{text}`"].alias("text")), "text", "fp", shingle, keep_text=False)
@@ -209,28 +210,26 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
 
     Texts whose shingles have a Jaccard similarity of ``jaccard.LEAST`` or more
     are linked, which 64 bits are too few to tell.  Rows that repeat an id and
-    text are one document, of which one row stays.  Columns are those of
-    ``df``; an empty table gives an empty result.
+    text are one document, of which one row stays (that of the smallest hash).
+    Null and empty texts are near-duplicates of each other; very long ones are
+    compared whole.  Columns are those of ``df``; an empty table gives an empty result.
     """
     names = df.columns
-    k1, k2, n = (free(names, x) for x in ("row_hash", "row_hash_too", "row_number"))
-    one = F.xxhash64(df[f"`{doc_id}`"], df[f"`{text}`"])
-    two = F.xxhash64(F.lit(1), df[f"`{doc_id}`"], df[f"`{text}`"])
-    keyed = df.withColumns({k1: one, k2: two})
-    small = keyed.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(f"`{text}`").alias("text"))
-    rows = jaccard.signed(small, "text", shingle)
+    rows = df.toDF(*[f"c{i}" for i in range(len(names))])
+    at, of = (f"c{[c.lower() for c in names].index(x.lower())}" for x in (doc_id, text))
+    keyed = rows.withColumns({"k1": F.xxhash64(at, of), "k2": F.xxhash64(F.lit(1), at, of)})
+    small = keyed.select(F.col(at).alias("doc_id"), "k1", "k2", F.col(of).alias("text"))
     # Null ids come last, and texts tell apart rows of one id.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     # Of equal texts only the first can stay.
-    first = rows.groupBy("fp").agg(F.min(F.struct(place.alias("place"), "keys")).alias("first"))
-    distinct = settled(first.select("fp", F.col("first.place").alias("least"), F.col("first.keys").alias("keys"), "first.place.k1", "first.place.k2"))
+    first = jaccard.signed(small, "text", shingle).groupBy("fp").agg(F.min(F.struct(place.alias("place"), "size", "keys")).alias("first"))
+    distinct = settled(first.select("fp", F.col("first.place").alias("least"), "first.size", "first.keys", "first.place.k1", "first.place.k2"))
     links = jaccard.linked(distinct, small.select("k1", "k2", "text"), shingle)
-    found = _least(distinct.select("fp", "least"), links)
-    stay = found.select("component.k1", "component.k2").distinct()
-    # The join leaves the rows of a key together, so that the window needs no shuffle.
-    left = keyed.join(stay.select(F.col("k1").alias(k1), F.col("k2").alias(k2)), [k1, k2])
-    first = left.withColumn(n, F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1)))
-    return first.filter(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in names])
+    stay = _least(distinct.select("fp", "least"), links).select("component.k1", "component.k2").distinct()
+    # Repeated rows become one in each task before they move, so that their number doesn't matter.
+    plain = [F.col(c) for c, kind in rows.dtypes if not re.search("map<|variant", kind)]
+    once = keyed.groupBy("k1", "k2").agg(F.min_by(F.struct(*rows.columns), F.xxhash64(*plain)).alias("row"))
+    return once.join(stay, ["k1", "k2"]).select("row.*").toDF(*names)
 
 
 def hexadecimal(fp: str):

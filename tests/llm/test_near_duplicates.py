@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pipelark.llm import jaccard, queries, simhash
+from pipelark.llm import components as components_module
 from pipelark.llm.components import components
 
 
@@ -109,8 +110,10 @@ def test_forest_joins_what_pairs_join():
         assert [a.root(x) for x in prints.tolist()] == [b.root(x) for x in prints.tolist()]
 
 
+@pytest.mark.parametrize("hub", [3, 100_000])
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "pairs", "none"])
-def test_components(spark, shape):
+def test_components(spark, monkeypatch, shape, hub):
+    monkeypatch.setattr(components_module, "HUB", hub)
     rng = random.Random(1)
     nodes = [rng.randint(-(2**62), 2**62) for _ in range(200)]
     links = {
@@ -191,6 +194,42 @@ def test_near_dedup_finds_similar_texts_that_differ_by_many_bits(spark, prose):
     assert far > 5 and len(gone) < 60
 
 
+def test_repeated_rows_are_one_document(spark, prose):
+    """A third of all rows is one id and text; of rows that differ elsewhere one stays, the same whatever the partitions."""
+    one = spark.range(600).select(F.lit(7).cast("long").alias("doc_id"), F.lit(prose(1, 60)).alias("text"), F.col("id").alias("more"))
+    rest = spark.createDataFrame([(100 + n, prose(100 + n, 60), n) for n in range(200)], "doc_id long, text string, more long")
+    found = [sorted(map(tuple, simhash.near_dedup(one.union(rest).repartition(n)).collect())) for n in (2, 5)]
+    assert found[0] == found[1] and [r[0] for r in found[0]] == [7, *range(100, 300)]
+
+
+@pytest.mark.parametrize("crowd", [300, 2_000])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, prose, crowd):
+    """Groups of near copies, some in chains, that don't fit into a task: components are those of all pairs."""
+    rng, rows = random.Random(5), []
+    for group in range(3):
+        words = prose(40 + group, 100).split()
+        for n in range(60):
+            changed = list(words)
+            for at in rng.sample(range(len(words)), rng.choice([1, 1, 2, 3, 4])):
+                changed[at] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(changed)))
+            if group == 2 and n % 4 == 0:
+                words = changed  # wanders away
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(r.doc_id for r in simhash.near_dedup(texts).collect())
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    made = []
+    monkeypatch.setattr(jaccard, "_crowded", lambda *a, f=jaccard._crowded: made.append(1) or f(*a))
+    assert sorted(r.doc_id for r in simhash.near_dedup(texts).collect()) == whole and made
+    union = Union()
+    for i, (_, a) in enumerate(rows):
+        union.root(i)
+        for j in range(i):
+            if similarity(a, rows[j][1]) >= 0.8:
+                union.join(i, j)
+    assert whole == sorted({union.root(i) for i in range(len(rows))})
+
+
 def test_forest_of_sets_joins_what_pairs_join():
     rng = np.random.default_rng(4)
     for _ in range(60):
