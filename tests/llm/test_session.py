@@ -1,0 +1,49 @@
+"""Checkpoint folders and how workers get the package."""
+
+import zipfile
+from types import SimpleNamespace
+from uuid import uuid4
+
+import pytest
+
+from pipelark.llm import session
+
+
+class Context(SimpleNamespace):
+    """As much of a Spark context as is asked for."""
+
+    def __init__(self, master, shared=None):
+        super().__init__(master=master, applicationId=str(uuid4()), environment={}, folder=None, files=[], shared=shared)
+
+    def getConf(self):
+        return SimpleNamespace(get=lambda key: self.shared if key == "spark.checkpoint.dir" else None)
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+    def addPyFile(self, path):
+        self.files.append(path)
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://https://host", "local-cluster[2,1,1024]"])
+def test_clusters(master):
+    """They need a shared folder, and are sent the package once."""
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.ready(SimpleNamespace(sparkContext=Context(master)))
+    sc = Context(master, "s3a://lake/checkpoints")
+    for _ in range(2):
+        session.ready(SimpleNamespace(sparkContext=sc))
+    assert sc.folder == "s3a://lake/checkpoints" and len(sc.files) == 1
+    assert "pipelark/llm/session.py" in zipfile.ZipFile(sc.files[0]).namelist()
+
+
+def test_one_machine():
+    sc = Context("local[4]")
+    session.ready(SimpleNamespace(sparkContext=sc))
+    assert "pipelark-checkpoint-" in sc.folder and str(session.ROOT) in sc.environment["PYTHONPATH"] and not sc.files
+    named = Context("local[*]", "/shared")
+    session.ready(SimpleNamespace(sparkContext=named))
+    assert named.folder == "/shared"
