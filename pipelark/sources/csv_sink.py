@@ -49,7 +49,7 @@ def store(frame: DataFrame, folder: str, table: str, time_column: str, period: s
     rows = frame.select(checked.alias("part"), time.alias("at"), F.struct(*cells).alias("row"))
     # A period is one file, so that its rows go to one task, which sorts them.
     ordered = rows.repartition("part").sortWithinPartitions("part", "at").select("part", "row.*")
-    ordered.write.partitionBy("part").options(header=False, quote='"', escape='"', nullValue="", emptyValue="").csv(draft, mode="overwrite")
+    ordered.write.partitionBy("part").options(header=False, quote='"', escape='"', nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(draft, mode="overwrite")
     named = frame.groupBy(part.alias("part")).agg(F.date_format(F.min(time), "yyyy-MM-dd_HH-mm-ss.SSS").alias("stamp")).collect()
     _settle(spark, draft, folder, table, {r["part"]: r["stamp"] for r in named})
     columns = [{"name": name, "type": kinds.get(kind, kind.value)} for name, _, kind in found]

@@ -251,3 +251,16 @@ def test_order_of_files_and_lines(spark, tmp_path):
         assert [r.n for r in engine.execute(spark, "o (*) | project n", tables, ordered=True).collect()] == expected
         assert [r.n for r in engine.execute(spark, "o (*) | project n | take 4100", tables, ordered=True).collect()] == expected[:4100]
         assert engine.execute(spark, "o (datetime(2020-01-01) .. datetime(2020-01-02)) | summarize k = count() by n", tables, ordered=True).collect() == []
+
+
+def test_folders_that_only_hadoop_reads(spark, tmp_path):
+    """Tables by a path that isn't a local one: stored, listed, checked, pruned and read through Hadoop's file systems."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.elsewhere.link./data", f"file://{tmp_path}")
+    rows = spark.createDataFrame([(datetime(2024, 1, d, h), d * 100 + h, f"a,{h}\n") for d in (1, 2, 3) for h in range(5)], "timestamp timestamp_ntz, n int, note string")
+    store(rows, "viewfs://elsewhere/data/t", "t", "timestamp")
+    assert len(list((tmp_path / "t").glob("*_t.csv"))) == 3
+    tables = Catalog([Entry("t", "file", dir="viewfs://elsewhere/data/t")])
+    found = engine.execute(spark, "t (datetime(2024-01-02 03:00) .. datetime(2024-01-03 01:00)) | project n, note", tables, ordered=True)
+    assert [tuple(r) for r in found.collect()] == [(203, "a,3\n"), (204, "a,4\n"), (300, "a,0\n"), (301, "a,1\n")]
+    assert len(found.inputFiles()) == 2
