@@ -28,6 +28,22 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Itera
         yield batch.slice(start)
 
 
+#: Bytes of a table for each core up to which it is spread over the cores.
+SPREAD_BYTES = 8_000_000
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table's rows over all cores; a large one as it is.
+
+    A scan has no more tasks than the files have row groups, and a small file has
+    one, behind which Python would work on one core.  Same rows either way.
+    """
+    spark = table.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if size < cores * SPREAD_BYTES else table
+
+
 def free(columns: Iterable[str], wanted: str) -> str:
     """``wanted``, with underscores before it until no column has that name (case apart)."""
     taken = {c.lower() for c in columns}

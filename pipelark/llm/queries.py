@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, line_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, simhash, substring_dedup, token_counts, url_filter
+from .batches import spread
 
 #: The production vocabularies.
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -30,16 +31,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of all documents, for operators that work on texts in Python."""
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base limits and verdict of every text."""
-    report = quality_rules.quality_report(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    report = quality_rules.quality_report(_texts(spark, sf_dir))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every text, as digests."""
     path = public_tokenizers.path(PIECES)
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     both = sentencepiece_codec.encode(docs, path, decoded="decoded", keep_text=False)
     return both.select(
         "doc_id",
@@ -57,13 +63,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every text."""
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_duplicates(_texts(spark, sf_dir))
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document whether it holds a test item, which one most of all, and how much of it."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     marked = decontamination.leaks(docs, _table(spark, sf_dir, "benchmark"))
     best = F.get("leaks", F.lit(0))
     return marked.select(
@@ -93,18 +99,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences that an earlier one has."""
-    found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = substring_dedup.substring_dedup(_texts(spark, sf_dir))
     return found.select("doc_id", (F.col("n_removed") > 0).alias("changed"), "n_sentences", "n_removed", "text")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every text."""
-    return quality_classifier.quality_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return quality_classifier.quality_scores(_texts(spark, sf_dir))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every text, and how much of it a budget of 512 tokens holds."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    docs = _texts(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = token_counts.token_budget(docs, public_tokenizers.path(BYTES), budget=512)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "fit_chars")
 
