@@ -18,36 +18,41 @@ from pyspark.sql import functions as F
 from .session import settled
 
 
-#: Links from which on a node is a hub.
+#: Links (or rows) from which on a node is a hub.
 HUB = 100_000
 
 
 def _minima(links: DataFrame, node: str, other: str) -> DataFrame:
-    """Of each ``node`` the least of itself and its ``other`` ends, and the number of these."""
+    """Of each ``node`` the least of itself and its ``other`` ends, and the number ``n`` of these."""
     return links.groupBy(F.col(node).alias("node")).agg(F.least(F.col("node"), F.min(other)).alias("least"), F.count("*").alias("n"))
 
 
-def _with_least(links: DataFrame, node: str, minima: DataFrame) -> DataFrame:
-    """``links`` with the ``least`` of their ``node``."""
-    # Of 2 * 10^10 ends at most 200,000 are hubs, with three numbers each.
-    hubs = minima.filter(F.col("n") >= HUB).select(F.col("node").alias("hub"), F.col("least").alias("hub_least"))
-    known = links.join(F.broadcast(hubs), F.col(node) == F.col("hub"), "left")
-    rest = known.filter("hub_least is null").join(minima.filter(F.col("n") < HUB), F.col(node) == F.col("node"))
-    found = known.filter(F.col("hub").eqNullSafe(F.col(node)))
-    return rest.select("a", "b", "least").unionByName(found.select("a", "b", F.col("hub_least").alias("least")))
+def looked_up(rows: DataFrame, key: str, table: DataFrame, own: str, value: str) -> DataFrame:
+    """``rows`` with the ``value`` that ``table`` has for their ``key``; rows of no known key go.
+
+    ``table`` has each key once (as ``own``) and the number ``n`` of its rows.  What it
+    has for the keys of hubs is broadcast, one entry for at least ``HUB`` rows; other
+    keys are shuffled, and have few rows each.
+    """
+    hubs = table.filter(F.col("n") >= HUB).select(F.col(own).alias("hub"), F.col(value).alias("of_hub"))
+    others = table.filter(F.col("n") < HUB).select(F.col(own).alias("other"), F.col(value))
+    known = rows.join(F.broadcast(hubs), F.col(key) == F.col("hub"), "left")
+    rest = known.filter("hub is null").join(others, F.col(key) == F.col("other"))
+    found = known.filter(F.col("hub").eqNullSafe(F.col(key)))
+    return rest.select(*rows.columns, value).unionByName(found.select(*rows.columns, F.col("of_hub").alias(value)))
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # a: the centre; its larger neighbours move to the least node of the star.
-    moved = _with_least(both.filter("b > a"), "a", _minima(both, "a", "b"))
+    moved = looked_up(both.filter("b > a"), "a", _minima(both, "a", "b"), "node", "least")
     return moved.select(F.col("least").alias("a"), "b").filter("a <> b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     # b: the centre; it and its smaller neighbours move to the least of these.
     least = _minima(links, "b", "a")
-    moved = _with_least(links, "b", least).select(F.col("least").alias("a"), F.col("a").alias("b"))
+    moved = looked_up(links, "b", least, "node", "least").select(F.col("least").alias("a"), F.col("a").alias("b"))
     own = least.select(F.col("least").alias("a"), F.col("node").alias("b"))
     return moved.unionByName(own).filter("a <> b").distinct()
 

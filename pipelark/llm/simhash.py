@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import jaccard
 from .batches import extended
-from .components import components
+from .components import components, looked_up
 from .session import ready, settled
 
 BITS, BLOCK, RADIUS = 64, 16, 3
@@ -179,19 +179,19 @@ def groups(rows: DataFrame, least: str) -> DataFrame:
     """``rows`` (``fp`` and others, settled) with ``component``: the smallest ``least`` of all rows within reach.
 
     Rows of equal fingerprints are taken together first, and what stands for
-    them is joined back, so that only small rows move with a frequent one.
+    them is looked up by each row, so that no task gets all rows of a frequent one.
     """
-    distinct = rows.groupBy("fp").agg(F.min(least).alias("least"))
-    found = _least(distinct, linked(distinct.select("fp"))).select(F.col("fp").alias("own_fp"), "component")
-    return rows.join(found, rows["fp"] == found["own_fp"]).drop("own_fp")
+    distinct = rows.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("n"))
+    found = settled(_least(distinct, linked(distinct.select("fp"))))
+    return looked_up(rows, "fp", found, "fp", "component")
 
 
 def _least(distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """``fp`` and ``component`` of the distinct ``fp``: the smallest ``least`` of all that links connect."""
+    """The distinct ``fp`` with ``component``: the smallest ``least`` of all that links connect."""
     roots = components(links)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(distinct["fp"], F.coalesce("root", distinct["fp"]).alias("root"), "least")
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(distinct["*"], F.coalesce("root", distinct["fp"]).alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return rooted.join(smallest, "root").select("fp", "component")
+    return rooted.join(smallest, "root").select(*distinct.columns, "component")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
