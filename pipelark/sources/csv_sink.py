@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import QueryTypeError
 from ..plans.types import Kind
 from . import files
+from .csv_folder import texts
 from .frames import fitted
 
 #: Formats that cut times down to the period of a file.
@@ -30,10 +31,12 @@ def _spelled(column: Column, kind: Kind) -> Column:
 
 
 def store(frame: DataFrame, folder: str, table: str, time_column: str, period: str = "day") -> None:
-    """Write ``frame`` with its time column first: a schema file, and a file for each period that has rows.
+    """Write ``frame`` with its time column first: a schema file, and files for each period that has rows.
 
-    A file is named after its first row, and its rows are in order of time.  Rows
-    without a time aren't possible in this format and are refused.
+    A period is one file, or several where it has many rows: tasks get ranges of
+    times, so that none gets more than its share.  A file is named after its
+    first row, and its rows are in order of time.  Rows without a time aren't
+    possible in this format and are refused.
     """
     spark = frame.sparkSession
     found = [(f.name, *fitted(F.col(f"`{f.name}`"), f.dataType)) for f in frame.schema.fields]
@@ -42,30 +45,27 @@ def store(frame: DataFrame, folder: str, table: str, time_column: str, period: s
         raise QueryTypeError(f"{time_column!r} isn't a time column")
     kinds = {Kind.LONG: "real"}  # the format has no 64-bit whole numbers; those up to 2^53 are exact
     cells = [_spelled(c, kind).alias(name) for name, c, kind in found]
-    time = F.col(f"`{time_column}`")
+    time = found[0][1]
     part = F.date_format(time, PERIODS[period])
     checked = F.when(part.isNull(), F.raise_error(F.lit("a row without a time can't be stored"))).otherwise(part)
     draft = f"{folder}/.draft"
-    rows = frame.select(checked.alias("part"), time.alias("at"), F.struct(*cells).alias("row"))
-    # A period is one file, so that its rows go to one task, which sorts them.
-    ordered = rows.repartition("part").sortWithinPartitions("part", "at").select("part", "row.*")
+    # By the time as it is written: rows of one name can't be in two files.
+    rows = frame.select(checked.alias("part"), cells[0].alias("at"), time.alias("time"), F.struct(*cells).alias("row"))
+    ordered = rows.repartitionByRange("at").sortWithinPartitions("part", "time").select("part", "row.*")
     ordered.write.partitionBy("part").options(header=False, quote='"', escape='"', nullValue="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(draft, mode="overwrite")
-    named = frame.groupBy(part.alias("part")).agg(F.date_format(F.min(time), "yyyy-MM-dd_HH-mm-ss.SSS").alias("stamp")).collect()
-    _settle(spark, draft, folder, table, {r["part"]: r["stamp"] for r in named})
-    columns = [{"name": name, "type": kinds.get(kind, kind.value)} for name, _, kind in found]
-    files.write(spark, f"{folder}/{table}.json", json.dumps({"name": table, "orderedColumns": columns}, indent=2))
+    columns = [(name, kinds.get(kind, kind.value)) for name, _, kind in found]
+    _settle(spark, draft, folder, table, len(columns))
+    files.write(spark, f"{folder}/{table}.json", json.dumps({"name": table, "orderedColumns": [{"name": name, "type": kind} for name, kind in columns]}, indent=2))
 
 
-def _settle(spark: SparkSession, draft: str, folder: str, table: str, stamps: dict[str, str]) -> None:
-    """Give each period's file its name."""
+def _settle(spark: SparkSession, draft: str, folder: str, table: str, width: int) -> None:
+    """Give each file its name."""
     Path = spark._jvm.org.apache.hadoop.fs.Path
     system = Path(draft).getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in system.listStatus(Path(draft)):
-        if not status.isDirectory():
-            continue
-        stamp = stamps[spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(status.getPath().getName().partition("=")[2])]
-        parts = [s.getPath() for s in system.listStatus(status.getPath()) if s.getPath().getName().startswith("part-")]
-        if len(parts) != 1:
-            raise RuntimeError(f"{len(parts)} files for one period")
-        system.rename(parts[0], Path(f"{folder}/{stamp}_{table}.csv"))
+    if any(status.isDirectory() for status in system.listStatus(Path(draft))):
+        written = texts(spark, [("", Kind.STRING)] * width, True).csv(draft)
+        first = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("`0`").alias("at")).collect()
+        for row in first:
+            stamp = row["at"].replace(" ", "_").replace(":", "-")
+            system.rename(Path(spark._jvm.java.net.URI(row["file"])), Path(f"{folder}/{stamp}_{table}.csv"))
     system.delete(Path(draft), True)

@@ -264,3 +264,23 @@ def test_folders_that_only_hadoop_reads(spark, tmp_path):
     found = engine.execute(spark, "t (datetime(2024-01-02 03:00) .. datetime(2024-01-03 01:00)) | project n, note", tables, ordered=True)
     assert [tuple(r) for r in found.collect()] == [(203, "a,3\n"), (204, "a,4\n"), (300, "a,0\n"), (301, "a,1\n")]
     assert len(found.inputFiles()) == 2
+
+
+def test_periods_of_many_rows_are_several_files(spark, tmp_path):
+    """Nearly all rows in one day: tasks share them, files don't overlap, and the table is as it was."""
+    day = datetime(2024, 5, 5)
+    rows = spark.range(0, 4000, 1, 4).select((F.lit(day) + F.make_dt_interval(secs=(F.col("id") % 900 * 7).cast("decimal(18,6)"))).cast("timestamp_ntz").alias("timestamp"), F.col("id").cast("int").alias("n"))
+    rows = rows.unionByName(spark.createDataFrame([(datetime(2024, 5, 1), -1), (datetime(2024, 5, 9), -2)], "timestamp timestamp_ntz, n int"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store(rows, str(tmp_path / "t"), "t", "timestamp")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted(p.name for p in (tmp_path / "t").glob("*_t.csv"))
+    assert len([n for n in names if n.startswith("2024-05-05")]) >= 3 and not (tmp_path / "t" / ".draft").exists()
+    spans_ = [sorted(line.split(",")[0] for line in (tmp_path / "t" / n).read_text().splitlines()) for n in names]
+    assert all(a[-1] < b[0] for a, b in zip(spans_, spans_[1:]))
+    tables = Catalog([Entry("t", "file", dir=str(tmp_path / "t"))])
+    assert sorted(map(tuple, engine.execute(spark, "t (*)", tables).collect())) == sorted(map(tuple, rows.collect()))
+    some = engine.execute(spark, "t (datetime(2024-05-05 00:30) .. datetime(2024-05-05 01:00)) | count", tables).first()[0]
+    assert some == rows.filter("timestamp between timestamp_ntz'2024-05-05 00:30:00' and timestamp_ntz'2024-05-05 01:00:00'").count()
