@@ -8,7 +8,8 @@ the document holds, in whatever order its parts stand there.
 
 Items are taken in blocks of bounded size, each of which is sent to all workers
 and held against all documents; so documents aren't shuffled, and a benchmark of
-any size is compared whole.  A seed that a document shares with very many items
+any size is compared whole (after some blocks rows are written out, so that
+memory doesn't grow with their number).  A seed that a document shares with very many items
 costs it one look at each of them, and only items that seeds can cover far
 enough are tiled, with no more memory than the words of both.
 """
@@ -26,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import extended, free
-from .session import ready
+from .session import ready, settled
 
 #: Words of a seed and of the shortest tile (all of a shorter item), and the share of an item that makes a leak.
 MATCH, COVERAGE = 5, 0.5
 
-#: Characters of the items of a block.
-BLOCK_CHARS = 20_000_000
+#: Characters of the items of a block, and blocks that a task has in memory.
+BLOCK_CHARS, BLOCKS_AT_ONCE = 20_000_000, 4
 
 _words = re.compile(r"\w+").findall
 
@@ -243,7 +244,9 @@ def leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     kind = pa.list_(pa.struct([("item_id", _arrow(key)), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([(n, pa.int32()) for n in tile.names])))]))
     rows = df.drop(*[c for c in df.columns if c.lower() == out.lower()])
     names, parts = rows.columns, []
-    for block in _blocks(benchmark, item_id, item_text, block_chars):
+    for n, block in enumerate(_blocks(benchmark, item_id, item_text, block_chars)):
+        if n and n % BLOCKS_AT_ONCE == 0:
+            rows = settled(rows)
         parts.append(free([*names, *parts, out], "leaks_in_block"))
 
         def make(block=block):
