@@ -29,7 +29,7 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = PIECE_BYTES) -> Itera
 
 
 #: Bytes of a table for each core up to which it is spread over the cores.
-SPREAD_BYTES = 8_000_000
+SPREAD_BYTES = 4_000_000
 
 
 def spread(table: DataFrame) -> DataFrame:
