@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from test_decontamination import plain as plain_tiles
 from test_lines_and_spans import order, without_lines
 from test_near_duplicates import Union, similarity
@@ -84,6 +85,20 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(map(repr, rows_of(corpus_pipeline.run(spark, folder)))) == sorted(map(repr, given))
 
 
+def test_columns_that_clash(spark, folder, tmp_path):
+    """Columns with dots, and with names that operators give to results or use on the way, come out of each stage as they went in."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ["a.b", "n_lines", "n_dropped", "kept", "quality", "ids", "n_tokens", "source_text", "whole_text", "leaks", "fp", "k1", "votes", "row", "component", "c0", "n_words"]
+    more = docs.select("*", *[F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(n) for n in names])
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, more, folder).write.parquet(f"{tmp_path}/{n}")
+        more = spark.read.parquet(f"{tmp_path}/{n}")
+        assert more.columns == [*docs.columns, *names]
+        for r in more.collect():
+            assert all(r[x] == f"{x} of {'null' if r.doc_id is None else r.doc_id}" for x in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, more, folder).columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "text"]
+
+
 def test_empty_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").filter("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
