@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import uuid
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,13 @@ def words(text: str | None) -> list[str]:
 
 def _powers(base: int, n: int) -> np.ndarray:
     """The first ``n`` powers, from 1 on."""
+    return _power_table(base, 1 << max(10, n.bit_length()))[:n]
+
+
+@lru_cache(maxsize=8)
+def _power_table(base: int, n: int) -> np.ndarray:
     steps = np.full(n, base, np.uint64)
-    steps[:1] = 1
+    steps[0] = 1
     return np.multiply.accumulate(steps)
 
 
@@ -145,8 +151,8 @@ class ItemBlock:
         """The items of which the text holds ``coverage`` or more, with their tiles; the best first, then in the order of the block."""
         if not self.seeds:
             return []
-        known = self.numbers.get
-        row = np.array([known(w, 0) for w in words(text)], dtype=np.int64)
+        found = words(text)
+        row = np.fromiter(map(self.numbers.get, found, repeat(0)), np.int64, len(found))
         # Most words of most documents are in no item: look only at windows without such a word.
         outside = np.concatenate([[0], np.cumsum(row == 0)])
         running, found = None, []
