@@ -18,7 +18,7 @@ def test_automaton_against_regular_expressions():
     for _ in range(60):
         patterns = ["".join(rng.choice(["a", "b", "/", "?", "*", "**", "é" if rng.random() < 0.1 else "c"]) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 40))]
         patterns = [re.sub(r"\*{3,}", "**", p) for p in patterns]
-        texts = ["".join(rng.choice("abc/") for _ in range(rng.randint(0, 30))) for _ in range(40)] + [""]
+        texts = ["".join(rng.choice("abc/" if rng.random() < 0.8 else "é日\U0001f600") for _ in range(rng.randint(0, 30))) for _ in range(40)] + [""]
         found = Automaton(patterns).match([t.encode() for t in texts])
         for i, text in enumerate(texts):
             assert [bool(regex(p).fullmatch(text)) for p in patterns] == found[i].tolist()
