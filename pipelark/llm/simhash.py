@@ -171,8 +171,9 @@ def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def linked(prints: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` that connect the distinct fingerprints ``fp`` as all pairs within the radius would."""
     spark = ready(prints.sparkSession)
-    # Few bytes become many: a stated number of partitions isn't made smaller by what is in them now.
-    dealt = prints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Few bytes become many: a stated number of partitions isn't made smaller by what is in them now.  They
+    # are dealt by another hash, as an exchange by the one they have would be left out.
+    dealt = prints.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     keyed = variants(dealt).repartition("block", "key").sortWithinPartitions("block", "key")
     return keyed.mapInArrow(_colliding, "a long, b long")
 

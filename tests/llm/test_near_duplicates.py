@@ -171,6 +171,14 @@ def test_a_large_group_makes_links_in_proportion(spark):
     assert found.count() == 1999 and found.select("root").distinct().count() == 1
 
 
+def test_variants_are_made_by_many_tasks(spark):
+    """Few bytes before, many after: the fingerprints aren't put together into few tasks."""
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("fp"))
+    distinct = rows.groupBy("fp").count().select("fp")
+    plan = simhash.linked(distinct)._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64(fp" in plan and "REPARTITION_BY_NUM" in plan.split("Generate")[-1]
+
+
 def similarity(a, b):
     a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
     return len(a & b) / len(a | b)
