@@ -27,15 +27,16 @@ def _minima(links: DataFrame, node: str, other: str) -> DataFrame:
     return links.groupBy(F.col(node).alias("node")).agg(F.least(F.col("node"), F.min(other)).alias("least"), F.count("*").alias("n"))
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, own: str, value: str) -> DataFrame:
+def looked_up(rows: DataFrame, key: str, table: DataFrame, own: str, value: str, hub: int | None = None) -> DataFrame:
     """``rows`` with the ``value`` that ``table`` has for their ``key``; rows of no known key go.
 
     ``table`` has each key once (as ``own``) and the number ``n`` of its rows.  What it
-    has for the keys of hubs is broadcast, one entry for at least ``HUB`` rows; other
-    keys are shuffled, and have few rows each.
+    has for the keys of hubs is broadcast, one entry for at least ``hub`` rows (``HUB``
+    unless given); other keys are shuffled, and have few rows each.
     """
-    hubs = table.filter(F.col("n") >= HUB).select(F.col(own).alias("hub"), F.col(value).alias("of_hub"))
-    others = table.filter(F.col("n") < HUB).select(F.col(own).alias("other"), F.col(value))
+    hub = HUB if hub is None else hub
+    hubs = table.filter(F.col("n") >= hub).select(F.col(own).alias("hub"), F.col(value).alias("of_hub"))
+    others = table.filter(F.col("n") < hub).select(F.col(own).alias("other"), F.col(value))
     known = rows.join(F.broadcast(hubs), F.col(key) == F.col("hub"), "left")
     rest = known.filter("hub is null").join(others, F.col(key) == F.col("other"))
     found = known.filter(F.col("hub").eqNullSafe(F.col(key)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import jaccard
+from . import jaccard, wide_simhash
 from .batches import extended
 from .components import components, looked_up
 from .session import ready, settled
@@ -211,8 +211,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = jaccard.SHINGLE) -> DataFrame:
     """One row of ``df`` of each component: that of the smallest id (null ids last, then the smallest hash of the text).
 
-    Texts whose shingles have a Jaccard similarity of ``jaccard.LEAST`` or more
-    are linked, which 64 bits are too few to tell.  Rows that repeat an id and
+    SimHash of as many bits as that takes (`wide_simhash`) puts texts into groups by
+    balls, popcount and components; those of a group whose shingles have a Jaccard
+    similarity of ``jaccard.LEAST`` or more are linked.  Rows that repeat an id and
     text are one document, of which one row stays (that of the smallest hash).
     Null and empty texts are near-duplicates of each other; very long ones are
     compared whole.  Columns are those of ``df``; an empty table gives an empty result.
@@ -225,9 +226,11 @@ def near_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     # Null ids come last, and texts tell apart rows of one id.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     # Of equal texts only the first can stay.
-    first = jaccard.signed(small, "text", shingle).groupBy("fp").agg(F.min(F.struct(place.alias("place"), "size", "keys")).alias("first"))
-    distinct = settled(first.select("fp", F.col("first.place").alias("least"), "first.size", "first.keys", "first.place.k1", "first.place.k2"))
-    links = jaccard.linked(distinct, small.select("k1", "k2", "text"), shingle)
+    bits, blocks = wide_simhash.plan(df.count())
+    made = wide_simhash.signed(small, "text", shingle, bits, blocks)
+    first = made.groupBy("fp").agg(F.min(F.struct(place.alias("place"), "size", "near", "more", "keys")).alias("first"))
+    distinct = settled(first.select("fp", F.col("first.place").alias("least"), "first.size", "first.near", "first.more", "first.keys", "first.place.k1", "first.place.k2"))
+    links = jaccard.linked(wide_simhash.meeting(distinct, bits), distinct, small.select("k1", "k2", "text"), shingle)
     stay = _least(distinct.select("fp", "least"), links).select("component.k1", "component.k2").distinct()
     # Repeated rows become one in each task before they move, so that their number doesn't matter.
     plain = [F.col(c) for c, kind in rows.dtypes if not re.search("map<|variant", kind)]
