@@ -33,7 +33,7 @@ SHINGLE, SEED, LEAST = 5, 42, Fraction(4, 5)
 CROWD, MANY = 4_000_000, 100
 
 #: A group of so many shingles that is taken apart is one part; of a hundred times as many, ten parts.
-PART = 2_500
+PART = 15_000
 
 
 def words_of(text: str | None) -> list[bytes]:
