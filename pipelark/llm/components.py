@@ -8,10 +8,17 @@ by aggregation, which combines before the shuffle.  What goes back to the links
 is joined in two ways: the minima of nodes with very many links, of which there
 are few, are broadcast, so that no task gets all links of such a node; the
 others are shuffled.  Rounds are cut off from each other by checkpoints.
+
+A round costs a dozen shuffles however few its links are.  So as many links as
+surely fit into a task (``FEW``) are solved by one, without rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +28,9 @@ from .session import settled
 #: Links (or rows) from which on a node is a hub.
 HUB = 100_000
 
+#: Links up to which one task finds the components: 16 bytes each, and ten times that while it does.
+FEW = 1_000_000
+
 
 def _minima(links: DataFrame, node: str, other: str) -> DataFrame:
     """Of each ``node`` the least of itself and its ``other`` ends, and the number ``n`` of these."""
@@ -58,6 +68,32 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(own).filter("a <> b").distinct()
 
 
+def roots_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links that aren't the least of their component, and these least ones.
+
+    Trees hang themselves under the least tree that a link leads to.  One that is less than all
+    its neighbours gets one of these, or a lesser neighbour for the next turn: half go in two turns.
+    """
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root = up
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    below = root != np.arange(len(nodes))
+    return nodes[below], nodes[root[below]]
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes and roots of all links of the task."""
+    ends = [np.zeros((2, 0), np.int64), *(np.stack([c.to_numpy(zero_copy_only=False) for c in x.columns]) for x in batches)]
+    node, root = roots_of(*np.concatenate(ends, axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for every node that has a link.
 
@@ -66,6 +102,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     # Settled, as what makes the links may be costly and each round reads them several times.
     now = settled(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    if now.count() <= FEW:
+        return settled(now.repartition(1).mapInArrow(_solved, "node long, root long"))
     before = None
     while True:
         now = settled(_small_star(_large_star(now)))
